@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dupstrata.llm import chat_format, language_id, mixing, quality_rules, secret_scan, toxicity, url_filters, vector_search
+from dupstrata.llm import chat_format, language_id, mixing, ngram_join, quality_rules, secret_scan, toxicity, url_filters, vector_search
 from dupstrata.llm.common import table
 
 
@@ -33,6 +33,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"), n=3, num=9, den=10)
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -46,7 +50,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixing, op3_chat_format, op4_vector_search, op5_secret_scan, op6_language_id, op8_quality_rules, op9_url_filters, op10_toxicity)
+    f.__name__: f for f in (op1_mixing, op3_chat_format, op4_vector_search, op5_secret_scan, op6_language_id, op7_ngram_join, op8_quality_rules, op9_url_filters, op10_toxicity)
 }
 
 ORACLE = {"op1_mixing": mixing.ORACLE, "op3_chat_format": chat_format.ORACLE, "op4_vector_search": vector_search.ORACLE, "op9_url_filters": url_filters.ORACLE}
