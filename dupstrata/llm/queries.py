@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dupstrata.llm import chat_format, language_id, mixing, ngram_join, quality_rules, secret_scan, toxicity, url_filters, vector_search
+from dupstrata.llm import chat_format, language_id, mixing, ngram_join, piece_codec, quality_rules, secret_scan, toxicity, url_filters, vector_search
 from dupstrata.llm.common import table
 
 
@@ -17,6 +17,14 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", shard.alias("shard"))
 
 
+#: The tokenizer file; another place is given by this parameter.
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op2_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_codec.digest(piece_codec.encode(table(spark, sf_dir, "documents"), PIECE_MODEL, n=3))
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.summarize(chat_format.rotate(table(spark, sf_dir, "conversations")))
 
@@ -50,7 +58,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixing, op3_chat_format, op4_vector_search, op5_secret_scan, op6_language_id, op7_ngram_join, op8_quality_rules, op9_url_filters, op10_toxicity)
+    f.__name__: f for f in (op1_mixing, op2_piece_codec, op3_chat_format, op4_vector_search, op5_secret_scan, op6_language_id, op7_ngram_join, op8_quality_rules, op9_url_filters, op10_toxicity)
 }
 
 ORACLE = {"op1_mixing": mixing.ORACLE, "op3_chat_format": chat_format.ORACLE, "op4_vector_search": vector_search.ORACLE, "op9_url_filters": url_filters.ORACLE}
