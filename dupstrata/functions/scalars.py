@@ -17,7 +17,7 @@ def file_type(name: str | Column) -> Column:
     base = F.regexp_extract(_col(name), r"[^/]*$", 0)
     at = F.length(base) - F.length(F.substring_index(base, ".", -1))
     suffix = F.when(at > 0, F.substring_index(base, ".", -1)).otherwise(F.lit(""))
-    return F.when((at <= 0) | (F.length(suffix) > LONGEST_TYPE), F.lit(UNTYPED)).otherwise(suffix)
+    return F.when(base.isNull(), base).when((at <= 0) | (F.length(suffix) > LONGEST_TYPE), F.lit(UNTYPED)).otherwise(suffix)
 
 
 def normalized_file_type(name: str | Column) -> Column:
