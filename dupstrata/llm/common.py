@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,7 +53,7 @@ def held_out(column: str | Column, parts: int, part: int) -> Column:
 def slices(batches: Iterable[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
     """The batches again, cut where the texts of a piece would pass SLICE_BYTES; a longer text stands alone."""
     for batch in batches:
-        sizes = [v or 0 for v in pa.compute.binary_length(batch.column(column)).to_pylist()]
+        sizes = [v or 0 for v in pc.binary_length(batch.column(column)).to_pylist()]
         begin = total = 0
         for i, n in enumerate(sizes):
             if i > begin and total + n > SLICE_BYTES:

@@ -15,8 +15,9 @@ The join works in the metric of symmetric differences, which bounds Jaccard dist
 4. Regions whose members are not connected then go on recursively. In small ones, pairs of members that are not
    connected yet are compared by stored class digests: each class that differs adds at least one to the symmetric
    difference, a bound that rules out nearly all; the others are compared exactly, all of them or, if they are many for
-   the region's size, those of a few more pivots, and the region goes on. Large ones compare further pivots and are cut
-   again by new hashes, which adds to what the members of a region share.
+   the region's size, those of a few more pivots, and the region goes on. Large ones compare further pivots, some from
+   outside the region's first component, and after PIVOT_ROUNDS rounds are cut again by new hashes, which adds to what
+   the members of a region share.
 
 Equal sets collapse first (their digests are compared, not their texts), so a text that a third of all rows share is one
 member. Only ids, digests and bounds are shuffled for all documents; texts move only for documents that share a region.
@@ -44,7 +45,7 @@ from pyspark.sql import functions as F
 from dupstrata.llm.common import LOWER, cut, map_texts, texts
 from dupstrata.llm.components import components
 
-SMALL_REGION, MORE_PIVOTS = 256, 16
+SMALL_REGION, MORE_PIVOTS, PIVOT_ROUNDS = 4096, 16, 3
 LEAST_CONTENT = 6.0
 
 
@@ -325,15 +326,13 @@ def join(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, id_col: str =
     held = base.where("doc_id is not null and n_shingles > 0")
     reps = held.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("node"))
     members = cut(shared(regions(body.where("doc_id is not null"), n, g), "s1").join(reps, "s1").select("key", "node"), "regions")
-    comp = components(_links(members, reps, body, n, g))
-    named = comp.select(F.col("node").alias("node"), "component")
-    out = reps.join(named, "node", "left").select("s1", "s2", F.col("n_shingles").alias("n"), F.coalesce("component", "node").alias("component_id"))
+    out = reps.join(_connected(members, reps, body, n, g), "node", "left").select("s1", "s2", F.col("n_shingles").alias("n"), F.coalesce("component", "node").alias("component_id"))
     same = (base["s1"] == out["s1"]) & (base["s2"] == out["s2"]) & (base["n_shingles"] == out["n"]) & (base["n_shingles"] > 0) & base["doc_id"].isNotNull()
     return base.join(out, same, "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _links(members: DataFrame, reps: DataFrame, body: DataFrame, n: int, g: Geometry) -> DataFrame:
-    """Links (a, b) that connect what links in any region connect."""
+def _connected(members: DataFrame, reps: DataFrame, body: DataFrame, n: int, g: Geometry) -> DataFrame:
+    """(node, component) of what links in any region connect."""
     able = reps.join(members.select("node").distinct(), "node", "left_semi")
     bodies = cut(_bodies(body, able, n), "bodies")
     pivots = members.groupBy("key").agg(F.min("node").alias("a"))
@@ -343,23 +342,28 @@ def _links(members: DataFrame, reps: DataFrame, body: DataFrame, n: int, g: Geom
     while True:
         comp = cut(components(found), "components")
         labelled = cells.join(comp, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
-        state = labelled.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", "m")
+        state = labelled.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", "m", "lo")
         going = cut(labelled.join(state, "key"), "open-regions")
-        if going.isEmpty():
-            return found
+        sizes = going.agg(F.count_if(F.col("m") <= SMALL_REGION), F.count_if(F.col("m") > SMALL_REGION)).first()
+        if not sizes[0] and not sizes[1]:
+            return comp
         depth += 1
-        small = going.where(F.col("m") <= SMALL_REGION).join(bodies.select("node", "size", "mark"), "node")
-        told = cut(small_regions(small, g), "candidates")
-        pairs = told.where("a is not null").select("a", "b")
-        rest = told.where("a is null").select("key").distinct()
-        cells = going.join(rest, "key", "left_semi").select("key", "node")
-        large = going.where(F.col("m") > SMALL_REGION)
-        if not large.isEmpty():
-            chance = F.xxhash64(F.lit(depth), "node")
-            more = large.groupBy("key").agg(F.min_by("node", chance).alias("a"), F.max_by("node", chance).alias("z"))
-            star = large.join(more, "key").select(F.explode(F.array("a", "z")).alias("a"), F.col("node").alias("b")).where("a <> b")
+        pairs, cells = found.where("false"), going.where("false").select("key", "node")
+        if sizes[0]:
+            small = going.where(F.col("m") <= SMALL_REGION).join(bodies.select("node", "size", "mark"), "node")
+            told = cut(small_regions(small, g), "candidates")
+            pairs = told.where("a is not null").select("a", "b")
+            rest = told.where("a is null").select("key").distinct()
+            cells = going.join(rest, "key", "left_semi").select("key", "node")
+        if sizes[1]:
+            large = going.where(F.col("m") > SMALL_REGION)
+            chance, apart = F.xxhash64(F.lit(depth), "node"), F.col("comp") != F.col("lo")
+            chosen = [f("node", F.when(side, chance)) for side in (apart, ~apart) for f in (F.min_by, F.max_by)]
+            more = large.groupBy("key").agg(F.array_distinct(F.array(*chosen)).alias("pivots"))
+            star = large.join(more, "key").select(F.explode("pivots").alias("a"), F.col("node").alias("b")).where("a <> b")
             pairs = pairs.unionAll(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-            cells = cells.unionAll(cut(_split(large, bodies, n, g, depth), "split"))
+            again = large.select("key", "node") if depth <= PIVOT_ROUNDS else cut(_split(large, bodies, n, g, depth), "split")
+            cells = cells.unionAll(again)
         found = cut(found.unionAll(compare(pairs, bodies, n, g)), "found")
 
 
