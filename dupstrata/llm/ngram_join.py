@@ -12,12 +12,11 @@ The join works in the metric of symmetric differences, which bounds Jaccard dist
    pivots of that class, and a region is the set of documents at distance 0 from one. A document lies in one region of
    each class, in order, up to as many as its own bound asks for. Small sets use regions of two or three classes.
 3. Inside a region the smallest document id is the pivot; every member's exact similarity to it is taken.
-4. Regions whose members are not connected then go on recursively. In small ones, pairs of members that are not
-   connected yet are compared by stored class digests: each class that differs adds at least one to the symmetric
-   difference, a bound that rules out nearly all; the others are compared exactly, all of them or, if they are many for
-   the region's size, those of a few more pivots, and the region goes on. Large ones compare further pivots, some from
-   outside the region's first component, and after PIVOT_ROUNDS rounds are cut again by new hashes, which adds to what
-   the members of a region share.
+4. Regions whose members are not connected then go on recursively. Pairs of members that are not connected yet are
+   compared by stored class digests, in memory: each class that differs adds at least one to the symmetric difference, a
+   bound that rules out nearly all. The others are compared exactly: all of them or, if they are many for the region's
+   size, those of some pivots, and the region goes on with what they connected and twice as many pivots. A region of more
+   than SMALL_REGION members becomes sub-regions, one for every two of its blocks, so no task holds a whole large one.
 
 Equal sets collapse first (their digests are compared, not their texts), so a text that a third of all rows share is one
 member. Only ids, digests and bounds are shuffled for all documents; texts move only for documents that share a region.
@@ -45,7 +44,7 @@ from pyspark.sql import functions as F
 from dupstrata.llm.common import LOWER, cut, map_texts, texts
 from dupstrata.llm.components import components
 
-SMALL_REGION, MORE_PIVOTS, PIVOT_ROUNDS = 4096, 16, 3
+SMALL_REGION, MORE_PIVOTS = 4096, 16
 LEAST_CONTENT = 6.0
 
 
@@ -264,7 +263,7 @@ def fold(mark: np.ndarray, k: int) -> np.ndarray:
     return mark
 
 
-def candidates(nodes: np.ndarray, sizes: np.ndarray, comps: np.ndarray, marks: list[bytes], g: Geometry) -> tuple[list[tuple[int, int]], bool]:
+def candidates(nodes: np.ndarray, sizes: np.ndarray, comps: np.ndarray, marks: list[bytes], g: Geometry, pivots: int) -> tuple[list[tuple[int, int]], bool]:
     """Pairs of a region's members that may link and are not connected, and whether those are all of them."""
     order = np.lexsort((nodes, scramble(nodes.view(np.uint64), 5)))
     nodes, sizes, comps = nodes[order], sizes[order], comps[order]
@@ -273,7 +272,7 @@ def candidates(nodes: np.ndarray, sizes: np.ndarray, comps: np.ndarray, marks: l
     table = np.stack([fold(m, least) for m in raw])
     found: list[tuple[int, int]] = []
     for i in range(len(nodes) - 1):
-        if i >= MORE_PIVOTS and len(found) > 8 * len(nodes):
+        if i >= pivots and len(found) > 8 * len(nodes):
             return found, False
         rest = slice(i + 1, None)
         able = comps[rest] != comps[i]
@@ -285,7 +284,7 @@ def candidates(nodes: np.ndarray, sizes: np.ndarray, comps: np.ndarray, marks: l
     return found, True
 
 
-def small_regions(members: DataFrame, g: Geometry) -> DataFrame:
+def compare_regions(members: DataFrame, g: Geometry, pivots: int) -> DataFrame:
     """(key, a, b) for candidate pairs; (key, null, null) for regions that must go on. members: key, node, comp, size, mark."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,7 +293,7 @@ def small_regions(members: DataFrame, g: Geometry) -> DataFrame:
         def close() -> None:
             if len(rows) > 1:
                 nodes, comps, sizes = (np.array([r[i] for r in rows], np.int64) for i in range(3))
-                found, whole = candidates(nodes, sizes, comps, [r[3] for r in rows], g)
+                found, whole = candidates(nodes, sizes, comps, [r[3] for r in rows], g, pivots)
                 out.extend((key, a, b) for a, b in found)
                 if not whole:
                     out.append((key, None, None))
@@ -342,28 +341,15 @@ def _connected(members: DataFrame, reps: DataFrame, body: DataFrame, n: int, g:
     while True:
         comp = cut(components(found), "components")
         labelled = cells.join(comp, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
-        state = labelled.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", "m", "lo")
+        state = labelled.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", "m")
         going = cut(labelled.join(state, "key"), "open-regions")
-        sizes = going.agg(F.count_if(F.col("m") <= SMALL_REGION), F.count_if(F.col("m") > SMALL_REGION)).first()
-        if not sizes[0] and not sizes[1]:
+        if going.isEmpty():
             return comp
-        depth += 1
-        pairs, cells = found.where("false"), going.where("false").select("key", "node")
-        if sizes[0]:
-            small = going.where(F.col("m") <= SMALL_REGION).join(bodies.select("node", "size", "mark"), "node")
-            told = cut(small_regions(small, g), "candidates")
-            pairs = told.where("a is not null").select("a", "b")
-            rest = told.where("a is null").select("key").distinct()
-            cells = going.join(rest, "key", "left_semi").select("key", "node")
-        if sizes[1]:
-            large = going.where(F.col("m") > SMALL_REGION)
-            chance, apart = F.xxhash64(F.lit(depth), "node"), F.col("comp") != F.col("lo")
-            chosen = [f("node", F.when(side, chance)) for side in (apart, ~apart) for f in (F.min_by, F.max_by)]
-            more = large.groupBy("key").agg(F.array_distinct(F.array(*chosen)).alias("pivots"))
-            star = large.join(more, "key").select(F.explode("pivots").alias("a"), F.col("node").alias("b")).where("a <> b")
-            pairs = pairs.unionAll(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-            again = large.select("key", "node") if depth <= PIVOT_ROUNDS else cut(_split(large, bodies, n, g, depth), "split")
-            cells = cells.unionAll(again)
+        pivots, depth = MORE_PIVOTS << depth, depth + 1
+        going = _blocks(going, depth)
+        told = cut(compare_regions(going.join(bodies.select("node", "size", "mark"), "node"), g, pivots), "candidates")
+        pairs = told.where("a is not null").select("a", "b")
+        cells = going.join(told.where("a is null").select("key").distinct(), "key", "left_semi").select("key", "node")
         found = cut(found.unionAll(compare(pairs, bodies, n, g)), "found")
 
 
@@ -380,17 +366,10 @@ def _bodies(body: DataFrame, able: DataFrame, n: int) -> DataFrame:
     return map_texts(chosen, run, "node long, text binary, size long, mark binary").dropDuplicates(["node"])
 
 
-def _split(large: DataFrame, bodies: DataFrame, n: int, g: Geometry, depth: int) -> DataFrame:
-    """Large regions cut again: regions by a new hash within each."""
-
-    def run(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
-        known = run.__dict__.setdefault("known", WordHashes())
-        keys, nodes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for key, node, raw in zip(*(batch.column(c).to_pylist() for c in ("key", "node", "text")), strict=True):
-            got = region_keys(shingle_set(raw, n, known), g, depth)
-            keys.append(scramble(got ^ np.uint64(key & (2**64 - 1)), depth))
-            nodes.append(np.full(len(got), node, np.int64))
-        return {"key": signed(np.concatenate(keys)), "node": np.concatenate(nodes)}
-
-    within = large.select("key", "node").join(bodies.select("node", "text"), "node")
-    return shared(map_texts(within, run, "key long, node long"), "node")
+def _blocks(members: DataFrame, depth: int) -> DataFrame:
+    """Regions of more than SMALL_REGION members as one for every two of their blocks; any two members share one."""
+    n = F.ceil(F.col("m") * 3 / SMALL_REGION).cast("int")
+    own = F.pmod(F.xxhash64(F.lit(depth), "node"), n).cast("int")
+    cut_up = members.where(F.col("m") > SMALL_REGION).withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), n - 1)))
+    key = F.xxhash64("key", F.least("_own", "_other"), F.greatest("_own", "_other"))
+    return members.where(F.col("m") <= SMALL_REGION).select("key", "node", "comp").unionAll(cut_up.select(key.alias("key"), "node", "comp"))

@@ -71,10 +71,9 @@ def test_chains_and_near_misses(spark, n, num, den):
 
 
 def test_large_regions_go_on(spark, monkeypatch):
-    """With small limits the recursion runs: more pivots, and regions cut again."""
+    """With small limits the recursion runs: more pivots, and regions in blocks."""
     monkeypatch.setattr(ngram_join, "SMALL_REGION", 6)
     monkeypatch.setattr(ngram_join, "MORE_PIVOTS", 2)
-    monkeypatch.setattr(ngram_join, "PIVOT_ROUNDS", 1)
     rng = random.Random(9)
     common = [f"c{i}" for i in range(70)]
     texts = [" ".join(common + [f"x{rng.randint(0, 10**6)}" for _ in range(rng.choice((2, 9, 30)))]) for _ in range(60)]
