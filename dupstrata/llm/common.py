@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -31,12 +32,20 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to shared storage and read it back, so that a lost executor costs no recomputation of what is above."""
-    spark = df.sparkSession
+def cut(df: DataFrame, tag: str, release: bool = False) -> DataFrame:
+    """Write df to shared storage and read it back, so that a lost executor costs no recomputation of what is above.
+
+    release: then have the driver collect its garbage, upon which Spark deletes the files of shuffles that nothing refers
+    to any more; else those of every step stay until the driver happens to do so.
+    """
+    spark, schema = df.sparkSession, df.schema
     path = scratch(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if release:
+        del df
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

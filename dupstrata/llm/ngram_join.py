@@ -229,10 +229,11 @@ def shared(entries: DataFrame, node: str) -> DataFrame:
 
 
 def compare(pairs: DataFrame, bodies: DataFrame, n: int, g: Geometry) -> DataFrame:
-    """The pairs (a, b) that link, by their whole texts. bodies: node, text."""
+    """The pairs (a, b) that link, by their whole texts where their class digests don't rule them out. bodies: node, text, size, mark."""
+    pairs = _possible(pairs.select("a", "b").distinct(), bodies, g)
     left = bodies.select(F.col("node").alias("a"), F.col("text").alias("ta"))
     right = bodies.select(F.col("node").alias("b"), F.col("text"))
-    both = pairs.select("a", "b").distinct().join(left, "a").join(right, "b")
+    both = pairs.join(left, "a").join(right, "b")
 
     def run(batch: pa.RecordBatch) -> dict[str, list]:
         known = run.__dict__.setdefault("known", WordHashes())
@@ -248,6 +249,26 @@ def compare(pairs: DataFrame, bodies: DataFrame, n: int, g: Geometry) -> DataFra
     return map_texts(both, run, "a long, b long")
 
 
+def _possible(pairs: DataFrame, bodies: DataFrame, g: Geometry) -> DataFrame:
+    """The pairs whose sizes and class digests allow a link."""
+    marks = [bodies.select(F.col("node").alias(c), F.col("size").alias(f"size_{c}"), F.col("mark").alias(f"mark_{c}")) for c in "ab"]
+    both = pairs.join(marks[0], "a").join(marks[1], "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = [batch.column(f"size_{c}").to_pylist() for c in "ab"]
+            able = []
+            for i, (x, y, p, q) in enumerate(zip(*sizes, batch.column("mark_a"), batch.column("mark_b"), strict=True)):
+                if g.den * min(x, y) >= g.num * max(x, y):
+                    p, q = np.frombuffer(p.as_buffer(), np.uint8), np.frombuffer(q.as_buffer(), np.uint8)
+                    least = min(len(p), len(q))
+                    if int((fold(p, least) != fold(q, least)).sum()) <= g.bound(x + y):
+                        able.append(i)
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(able, pa.int64())) for c in "ab"], names=["a", "b"])
+
+    return both.mapInArrow(run, "a long, b long").distinct()
+
+
 def sketch(h: np.ndarray) -> bytes:
     """One byte for each class of a power of two of classes, about two shingles to a class."""
     k = 1 << max(3, (len(h) // 2).bit_length())
@@ -323,8 +344,8 @@ def join(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, id_col: str =
     body = texts(docs, id_col, text_col)
     base = cut(sets(body, n), "shingle-sets")
     held = base.where("doc_id is not null and n_shingles > 0")
-    reps = held.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("node"))
-    members = cut(shared(regions(body.where("doc_id is not null"), n, g), "s1").join(reps, "s1").select("key", "node"), "regions")
+    reps = cut(held.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("node")), "distinct-sets")  # read again, so that joins with it can split a text that very many rows share
+    members = cut(shared(regions(body.where("doc_id is not null"), n, g), "s1").join(reps, "s1").select("key", "node"), "regions", release=True)
     out = reps.join(_connected(members, reps, body, n, g), "node", "left").select("s1", "s2", F.col("n_shingles").alias("n"), F.coalesce("component", "node").alias("component_id"))
     same = (base["s1"] == out["s1"]) & (base["s2"] == out["s2"]) & (base["n_shingles"] == out["n"]) & (base["n_shingles"] > 0) & base["doc_id"].isNotNull()
     return base.join(out, same, "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
@@ -333,10 +354,10 @@ def join(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, id_col: str =
 def _connected(members: DataFrame, reps: DataFrame, body: DataFrame, n: int, g: Geometry) -> DataFrame:
     """(node, component) of what links in any region connect."""
     able = reps.join(members.select("node").distinct(), "node", "left_semi")
-    bodies = cut(_bodies(body, able, n), "bodies")
+    bodies = cut(_bodies(body, able, n), "bodies", release=True)
     pivots = members.groupBy("key").agg(F.min("node").alias("a"))
     pairs = members.join(pivots, "key").where("node <> a").select("a", F.col("node").alias("b"))
-    found = cut(compare(pairs, bodies, n, g), "found")
+    found = cut(compare(pairs, bodies, n, g), "found", release=True)
     cells, depth = members, 0
     while True:
         comp = cut(components(found), "components")
@@ -350,20 +371,24 @@ def _connected(members: DataFrame, reps: DataFrame, body: DataFrame, n: int, g:
         told = cut(compare_regions(going.join(bodies.select("node", "size", "mark"), "node"), g, pivots), "candidates")
         pairs = told.where("a is not null").select("a", "b")
         cells = going.join(told.where("a is null").select("key").distinct(), "key", "left_semi").select("key", "node")
-        found = cut(found.unionAll(compare(pairs, bodies, n, g)), "found")
+        found = cut(found.unionAll(compare(pairs, bodies, n, g)), "found", release=True)
 
 
 def _bodies(body: DataFrame, able: DataFrame, n: int) -> DataFrame:
-    """node, text, size, mark (its sketch) for documents that share a region; of rows with that id, one whose set it is."""
+    """node, text, size, mark (its sketch) for documents that share a region; of rows with that id, those whose set it is, and one of neighbours."""
 
     def run(batch: pa.RecordBatch) -> dict[str, list]:
         known = run.__dict__.setdefault("known", WordHashes())
         got = [shingle_set(raw, n, known) for raw in batch.column("text").to_pylist()]
-        fits = [i for i, (h, a, b) in enumerate(zip(got, batch.column("s1").to_pylist(), batch.column("s2").to_pylist(), strict=True)) if set_digest(h) == (a, b)]
+        fits = []
+        for i, (h, node, *mark) in enumerate(zip(got, *(batch.column(c).to_pylist() for c in ("node", "s1", "s2")), strict=True)):
+            if set_digest(h) == tuple(mark) and run.__dict__.get("last") != node:
+                run.__dict__["last"] = node
+                fits.append(i)
         return {"node": batch.column("node").take(fits), "text": batch.column("text").take(fits), "size": [len(got[i]) for i in fits], "mark": [sketch(got[i]) for i in fits]}
 
     chosen = body.join(able.select("node", "s1", "s2"), F.col("doc_id") == F.col("node")).select("node", "s1", "s2", "text")
-    return map_texts(chosen, run, "node long, text binary, size long, mark binary").dropDuplicates(["node"])
+    return map_texts(chosen, run, "node long, text binary, size long, mark binary")
 
 
 def _blocks(members: DataFrame, depth: int) -> DataFrame:
