@@ -21,8 +21,15 @@ from dupstrata.functions.scalars import percent, size_class, temporal_real, temp
 ALL = "ALL"
 
 
+#: Chunks of one file are fewer than this.
+FILE_ROOM = 10**10
+
+
 def position(chunks: DataFrame) -> Column:
-    return F.struct(*[c for c in ("run", "file_seq", "chunk_seq") if c in chunks.columns])
+    """A chunk's place in the order of the trace. Without runs it is one number, so its minimum is kept by a hash aggregate."""
+    if "run" in chunks.columns:
+        return F.struct("run", "file_seq", "chunk_seq")
+    return F.col("file_seq").cast("decimal(19,0)") * F.lit(FILE_ROOM).cast("decimal(11,0)") + F.col("chunk_seq").cast("decimal(19,0)")
 
 
 def first_cost(chunks: DataFrame, keys: Sequence[str], within: Sequence[str] = ()) -> DataFrame:
