@@ -245,23 +245,32 @@ class Encoder:
             bwd[r, at] = np.maximum(bwd[r, at], self.scores[i] + bwd[r, at + size])
         used = np.zeros((n, width + 1), np.int64)
         where, live = lengths.copy(), np.arange(n)
+        steps: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # rows, starts, ids of the best paths, last pieces first
         while len(live):
-            size = back[live, where[live]]
-            where[live] -= size
-            used[live, where[live]] = size
-            live = live[where[live] > 0]
+            ends = where[live]
+            starts = ends - back[live, ends]
+            used[live, starts] = ends - starts
+            steps.append((live, starts, piece[live, ends]))
+            where[live] = starts
+            live = live[starts > 0]
         second = np.full(n, -np.inf)
         for at, size, r, i in edges:
             through = np.where(used[r, at] == size, -np.inf, fwd[r, at] + self.scores[i] + bwd[r, at + size])
             second[r] = np.maximum(second[r], through)
         best = fwd[np.arange(n), lengths]
-        for k, w in enumerate(words):
-            path, at = [], len(w)
-            while at:
-                size = int(back[k, at])
-                path.append((at - size, int(piece[k, at])))
-                at -= size
-            self.words[w] = (np.array(self.model.spell(w, path[::-1]), np.int32).tobytes(), float(best[k]), float(best[k] - second[k]))
+        rows, starts, ids = (np.concatenate([x[j] for x in steps]) for j in range(3))
+        order = np.lexsort((starts, rows))
+        rows, starts, ids = rows[order], starts[order], ids[order]
+        ends = np.cumsum(np.bincount(rows, minlength=n)).tolist()
+        raw, begin = ids.astype(np.int32).tobytes(), 0
+        spelt = set(rows[ids < 0].tolist())
+        for k, (w, end, score, distance) in enumerate(zip(words, ends, best.tolist(), (best - second).tolist(), strict=True)):
+            if k in spelt:
+                path = zip(starts[begin:end].tolist(), ids[begin:end].tolist(), strict=True)
+                self.words[w] = (np.array(self.model.spell(w, list(path)), np.int32).tobytes(), score, distance)
+            else:
+                self.words[w] = (raw[4 * begin : 4 * end], score, distance)
+            begin = end
 
     def n_best_word(self, word: str) -> list[tuple[float, list[int]]]:
         got = self.lists.get(word)
