@@ -8,11 +8,13 @@ stored parent distance already rules it out by the triangle inequality.
 
 Largest inner product is nearest neighbour after adding one coordinate that gives all stored vectors the same norm, so
 the Euclidean metric and its triangle inequality hold. Scores are integers: each component x becomes floor(256 x), and
-products are summed exactly. Bounds are floats with a slack that only makes the search visit more.
+products are summed exactly: in floats while every sum is below 2**53, else in 64-bit or longer integers. Bounds are
+floats with a slack that only makes the search visit more.
 
-Vectors that are null or hold a null or non-finite component take no part, nor do those with a component of magnitude
-2**16 or more, whose products would not be exact. Vectors of different length are padded with zeros. Equal ids are told
-apart by nothing: every row is its own candidate, except rows with the query's own id.
+Vectors that are null or hold a null or non-finite component take no part. Nor do those with a component whose 256 fold
+no 64-bit integer holds (2**55 or more), on which the SQL stops with an error. A score that no 64-bit integer holds is
+null in the result, while its rank is exact. Vectors of different length are padded with zeros. Equal ids are told apart
+by nothing: every row is its own candidate, except rows with the query's own id.
 Queries are shared out in groups of QUERY_ROWS, so neither side of a task grows with the table.
 """
 
@@ -27,14 +29,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TREE_ROWS, PAGE_ROWS, FANOUT, QUERY_ROWS = 8192, 64, 16, 4096
-SCALE, LARGEST = 256, 1 << 16
+SCALE, LARGEST = 256, 1 << 63
+#: Scores are ordered between tasks as so many bytes, whatever their size.
+KEY_BYTES = 24
 
 
 class MTree:
     """Nodes as flat lists; leaves hold slices of rows that were put in their order."""
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray):
-        rows = rows.astype(np.float64)
+        self.peak = peak(rows)
+        exact, rows = rows, rows.astype(np.float64)
         norms = (rows * rows).sum(1)
         self.top = float(norms.max()) if len(rows) else 0.0
         lifted = np.hstack([rows, np.sqrt(np.maximum(0.0, self.top - norms))[:, None]])
@@ -48,7 +53,7 @@ class MTree:
         self.order = order
         self._lifted = lifted
         self.root = self._build(0, len(rows), None)
-        self.ids, self.rows = ids[self.order], rows[self.order]
+        self.ids, self.rows = ids[self.order], (rows if self.peak < 1 << 53 else exact)[self.order]
         lifted = lifted[self.order]
         self.entry = np.zeros(len(rows))  # distance of each row to its leaf's routing object
         for node, (a, b) in enumerate(self.span):
@@ -89,11 +94,15 @@ class MTree:
         """The k best (score, vec_id) but for rows of id own: highest score first, ties to the smaller id."""
         if not len(self.rows):
             return []
-        q = q.astype(np.float64)
+        most = len(q) * self.peak * peak(q)  # no sum of products is larger
+        kind = np.float64 if most < 1 << 53 else np.int64
+        whole, q = q.astype(kind), q.astype(np.float64)
+        if most >= 1 << 63:
+            whole = whole.astype(object)
         qq = float((q * q).sum())
         lifted = np.append(q, 0.0)
         reach = np.sqrt(((self.centres - lifted) ** 2).sum(1))
-        slack = 1e-6 * (1 + np.sqrt(qq + self.top))
+        slack = max(1e-6, 8 * np.sqrt(len(q) * np.finfo(float).eps)) * (1 + np.sqrt(qq + self.top))
         best: list[tuple[int, int]] = []  # heap of (score, -id): the worst on top
         limit = np.inf  # distance of the k-th best
 
@@ -117,7 +126,7 @@ class MTree:
             able = np.flatnonzero(np.abs(self.entry[a:b] - reach[node]) - slack <= limit) + a
             if not len(able):
                 continue
-            scores = self.rows[able] @ q
+            scores = self.rows[able].astype(kind, copy=False).astype(whole.dtype, copy=False) @ whole
             for s, i in zip(scores.tolist(), self.ids[able].tolist(), strict=True):
                 if i == own:
                     continue
@@ -131,21 +140,26 @@ class MTree:
         return [(s, -i) for s, i in sorted(best, reverse=True)]
 
 
+def peak(rows: np.ndarray) -> int:
+    """The largest magnitude."""
+    return max(int(rows.max()), -int(rows.min())) if rows.size else 0
+
+
 def quantized(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(vec_id, v): whole vectors of integers, by JVM expressions."""
     x = F.col(vector_col)
-    able = F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e.cast("double") * SCALE) < LARGEST))
-    return vectors.where(F.col(id_col).isNotNull() & x.isNotNull() & able).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(x, lambda e: F.floor(e.cast("double") * SCALE).cast("int")).alias("v"))
+    able = F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e.cast("double") * SCALE) < float(LARGEST)))
+    return vectors.where(F.col(id_col).isNotNull() & x.isNotNull() & able).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(x, lambda e: F.floor(e.cast("double") * SCALE).cast("long")).alias("v"))
 
 
 def matrix(column: pa.Array, width: int) -> np.ndarray:
     if pa.types.is_large_list(column.type):
-        column = column.cast(pa.list_(pa.int32()))
+        column = column.cast(pa.list_(column.type.value_type))
     sizes = np.diff(column.offsets.to_numpy())
     flat = column.flatten().to_numpy(zero_copy_only=False)
     if len(sizes) and (sizes == width).all():
-        return flat.reshape(-1, width).astype(np.int32)
-    out = np.zeros((len(sizes), width), np.int32)
+        return flat.reshape(-1, width).astype(np.int64)
+    out = np.zeros((len(sizes), width), np.int64)
     begin = 0
     for i, n in enumerate(sizes):
         out[i, :n] = flat[begin : begin + n]
@@ -168,9 +182,11 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
         out: list[tuple[int, int, int]] = []
 
         def flush() -> pa.RecordBatch:
-            cols = [pa.array([r[i] for r in out], pa.int64()) for i in range(3)]
+            cols = [pa.array([r[i] for r in out], pa.int64()) for i in range(2)]
+            cols.append(pa.array([s if -LARGEST <= s < LARGEST else None for *_, s in out], pa.int64()))
+            cols.append(pa.array([(s + (1 << 8 * KEY_BYTES - 1)).to_bytes(KEY_BYTES, "big") for *_, s in out], pa.binary()))
             out.clear()
-            return pa.RecordBatch.from_arrays(cols, names=["query_id", "vec_id", "score"])
+            return pa.RecordBatch.from_arrays(cols, names=["query_id", "vec_id", "score", "key"])
 
         for batch in batches:
             t, g, kind, vec = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("tree", "grp", "kind", "vec_id"))
@@ -186,7 +202,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
                     rows.append(v[a:b])
                     continue
                 if tree is None:
-                    tree = MTree(np.concatenate(ids) if ids else np.zeros(0, np.int64), np.concatenate(rows) if rows else np.zeros((0, width), np.int32))
+                    tree = MTree(np.concatenate(ids) if ids else np.zeros(0, np.int64), np.concatenate(rows) if rows else np.zeros((0, width), np.int64))
                 for i in range(a, b):
                     out += [(int(vec[i]), x, s) for s, x in tree.search(int(vec[i]), v[i], k)]
                     if len(out) > 20_000:
@@ -194,8 +210,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
         yield flush()
 
     dealt = stored.unionAll(asked.select("vec_id", "v", "tree", "grp", "kind")).repartition(max(1, min(trees * groups, 1 << 15)), "tree", "grp").sortWithinPartitions("tree", "grp", "kind", "vec_id")
-    found = dealt.mapInArrow(run, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    found = dealt.mapInArrow(run, "query_id long, vec_id long, score long, key binary")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("key"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

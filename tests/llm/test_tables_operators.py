@@ -1,5 +1,6 @@
 """Mixing, chat formatting, vector search and URL filters against SQL or plain models, and their edge cases."""
 
+import math
 import random
 
 import duckdb
@@ -127,6 +128,24 @@ def test_search_is_exact(spark, kind):
         assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == want
 
 
+@pytest.mark.parametrize("size", [1e3, 1e7, 1e13])
+def test_search_of_large_vectors(spark, size):
+    """Sums in floats, 64-bit and longer integers; a score beyond 64 bits is null, its rank exact."""
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(600, 6)) * size ** rng.uniform(0, 1, (600, 1))
+    v[:9] = v[9] * 1.0000001 ** np.arange(9)[:, None]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    whole = [[math.floor(c * 256) for c in x] for x in v.tolist()]
+    want = []
+    for q in range(0, 600, 50):
+        near = sorted((-sum(a * b for a, b in zip(whole[q], w, strict=True)), i) for i, w in enumerate(whole) if i != q)[:5]
+        want += [(q, n + 1, i, -s if -(1 << 63) <= -s < 1 << 63 else None) for n, (s, i) in enumerate(near)]
+    assert max(max(map(abs, x)) for x in whole) >= 1 << 16 and any(s is None for *_, s in want) == (size > 1e8)
+    for tree_rows in (8192, 100):
+        got = vector_search.top_k(df, F.col("vec_id") % 50 == 0, 5, tree_rows=tree_rows).collect()
+        assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == want
+
+
 def test_tree_skips_most_distances_in_clusters():
     rng = np.random.default_rng(0)
     rows = (rng.normal(size=(40, 8))[np.repeat(np.arange(40), 200)] * 900 + rng.normal(size=(8000, 8))).astype(np.int32)
