@@ -2,7 +2,7 @@
 
 language ID drops documents without a letter of any language or with a score under LEAST_SURE; the near-duplicate join
 keeps the smallest id of each group of texts alike in four fifths of their five-word shingles; secret scans drop
-documents with a base finding; mixing repeats documents to the sources' target weights; the last stage encodes every
+documents with a finding of any kind; mixing repeats documents to the sources' target weights; the last stage encodes every
 copy into pieces and decodes it again. Null texts go in the first stage. Empty tables pass through.
 """
 
@@ -32,7 +32,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = secret_scan.scan_unseen(docs).where("n_assign + n_access + n_hex > 0").select("blob")
+    found = secret_scan.scan_unseen(docs).where("spans <> ''").select("blob")
     return docs.withColumn("blob", F.sha2(F.coalesce(F.col("text").cast("binary"), F.lit(b"")), 256)).join(found, "blob", "left_anti").select(*COLUMNS)
 
 

@@ -219,3 +219,11 @@ def test_pipeline_edges(spark, sf):
         for _, stage in corpus_pipeline.STAGES:
             state = stage(spark, state, sf)
         assert all(r["round_trip"] for r in state.collect())
+
+
+def test_pipeline_drops_every_kind_of_secret(spark, sf):
+    secrets = ["password=abcdef1", "AKIA" + "Z9" * 8, "0a" * 12, "-----BEGIN RSA PRIVATE KEY-----", "eyJabcdefghij.abcdefghij.abcdefghij", "ftp://me:hidden1@host"]
+    assert [{k for _, k, _ in secret_scan.find(t)} for t in secrets] == [{k} for k in range(6)]
+    rows = [(i, f"plain words and {t} within", "en", "a", 9) for i, t in enumerate([*secrets, "none"])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert [r["doc_id"] for r in corpus_pipeline.drop_secrets(spark, df, sf).collect()] == [len(secrets)]
