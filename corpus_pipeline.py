@@ -1,7 +1,7 @@
 """A training-data pipeline over the document table: five stages, each one corpus operator over all that is left.
 
 language ID drops documents without a letter of any language or with a score under LEAST_SURE; the near-duplicate join
-keeps the smallest id of each group of texts alike in four fifths of their five-word shingles; secret scans drop
+keeps one row, of the smallest id, of each group of texts alike in four fifths of their five-word shingles; secret scans drop
 documents with a finding of any kind; mixing repeats documents to the sources' target weights; the last stage encodes every
 copy into pieces and decodes it again. Null texts go in the first stage. Empty tables pass through.
 """
@@ -26,9 +26,21 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = ngram_join.join(docs, n=5, num=4, den=5)
-    gone = groups.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """Rows go by a key of id and text, as an id may be null or stand for several texts; rows of one key are copies."""
+    docs = docs.select(*COLUMNS, F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1).alias("row_key"))
+    groups = ngram_join.join(docs, n=5, num=4, den=5, id_col="row_key").withColumnRenamed("doc_id", "row_key")
+    names = docs.select("row_key", "doc_id").distinct()
+    keys = cut(groups.groupBy("row_key", "component_id").agg(F.count(F.lit(1)).alias("n"), F.max("n_shingles").alias("n_shingles")).join(names, "row_key"), "row-keys")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key"))
+    kept = keys.groupBy("component_id").agg(first.alias("first")).select(F.col("first.row_key").alias("row_key"))
+    gone = keys.join(kept, "row_key", "left_anti").select("row_key")
+    twice = keys.where("n > 1 and n_shingles > 0").join(kept, "row_key", "left_semi").select("row_key")
+    left = docs.join(gone, "row_key", "left_anti")
+    if twice.isEmpty():
+        return left.select(*COLUMNS)
+    others = [c for c in COLUMNS if c != "text"]
+    once = left.join(twice, "row_key", "left_semi").groupBy("row_key").agg(F.min(F.struct(*others)).alias("row"), F.first("text").alias("text"))
+    return left.join(twice, "row_key", "left_anti").select(*COLUMNS).unionByName(once.select("row.*", "text"))
 
 
 def drop_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -227,3 +227,14 @@ def test_pipeline_drops_every_kind_of_secret(spark, sf):
     rows = [(i, f"plain words and {t} within", "en", "a", 9) for i, t in enumerate([*secrets, "none"])]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert [r["doc_id"] for r in corpus_pipeline.drop_secrets(spark, df, sf).collect()] == [len(secrets)]
+
+
+def test_pipeline_keeps_one_row_of_each_group(spark, sf):
+    """With ids that are repeated, null or stand for two texts."""
+    a, b, c, d = (" ".join(f"{w}{i}" for i in range(40)) for w in "abcd")
+    rows = [(1, a, "x"), (1, a, "w"), (2, a, "x"), (2, b, "x"), (None, c, "y"), (None, c, "y"), (None, c + " end", "y"), (7, d, None), (None, d, None), (5, None, None), (5, None, None)]
+    df = spark.createDataFrame([(i, t, "en", s, 9) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r["doc_id"], r["text"], r["source"]) for r in corpus_pipeline.drop_near_duplicates(spark, df, sf).collect()]
+    assert len(got) == 6 and [r for r in got if r[1] and r[1].startswith("c")][0][0] is None
+    assert {r for r in got if not r[1] or not r[1].startswith("c")} == {(1, a, "w"), (2, b, "x"), (7, d, None), (5, None, None)}
+    assert corpus_pipeline.drop_near_duplicates(spark, df.where("false"), sf).count() == 0
