@@ -8,7 +8,6 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 KIB = 1024
+#: Rows that a chunking task gathers before it hands them on.
+OUT_ROWS = 10_000
 DIGESTS = {"MD5": 16, "SHA-1": 20, "SHA-224": 28, "SHA-256": 32, "SHA-384": 48, "SHA-512": 64}
 
 
@@ -90,7 +91,6 @@ def window_table(p: int = POLYNOMIAL, window: int = WINDOW) -> list[int]:
     return [poly_mulmod(b, shift, p) for b in range(256)]
 
 
-@lru_cache(maxsize=4)
 def place_tables(p: int = POLYNOMIAL, window: int = WINDOW) -> np.ndarray:
     """For each place k back from the last byte and each byte b: b x**(8 k) mod p. The hash of a window is their XOR."""
     out = np.zeros((window, 256), np.uint64)
@@ -106,10 +106,15 @@ def place_tables(p: int = POLYNOMIAL, window: int = WINDOW) -> np.ndarray:
     return out
 
 
-@lru_cache(maxsize=1)
+#: A plain table and not a cached function, as it travels to executors by value together with the functions that use it.
+_LOW: dict[str, np.ndarray] = {}
+
+
 def low_tables() -> np.ndarray:
     """The low 32 bits, which hold every mask."""
-    return place_tables().astype(np.uint32)
+    if "low" not in _LOW:
+        _LOW["low"] = place_tables().astype(np.uint32)
+    return _LOW["low"]
 
 
 @dataclass(frozen=True)
@@ -192,19 +197,28 @@ def chunk_files(files: DataFrame, body: str, keys: Sequence[str], chunkers: Sequ
     fields = [*[f"`{k}` {kinds[k]}" for k in keys], "chunk_seq long", "offset long", "chunksize long", "fp string", "chunker string"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Some files' chunks go out together, OUT_ROWS and a file more at most."""
         for batch in batches:
+            cols: list[list] = [[] for _ in range(6)]  # row in batch, place, begin, size, digest, chunker
+
+            def flush() -> pa.RecordBatch:
+                row, *rest = cols  # noqa: B023
+                at = pa.array(row, pa.int32())
+                out = [*[batch.column(k).take(at) for k in keys], *[pa.array(c, t) for c, t in zip(rest, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)]]  # noqa: B023
+                for c in cols:  # noqa: B023
+                    c.clear()
+                return pa.RecordBatch.from_arrays(out, names=[*keys, "chunk_seq", "offset", "chunksize", "fp", "chunker"])
+
             for i in range(batch.num_rows):
                 raw = batch.column("_body")[i].as_py() or b""
                 for name, chunker in chosen:
                     ends = ends_of(chunker, raw)
-                    if not ends:
-                        continue
-                    begins = [0, *ends[:-1]]
-                    rows = pa.array([i] * len(ends), pa.int32())
-                    yield pa.RecordBatch.from_arrays(
-                        [*[batch.column(k).take(rows) for k in keys], pa.array(range(len(ends)), pa.int64()), pa.array(begins, pa.int64()), pa.array([b - a for a, b in zip(begins, ends, strict=True)], pa.int64()), pa.array([digest.of(raw[a:b]) for a, b in zip(begins, ends, strict=True)], pa.string()), pa.array([name] * len(ends), pa.string())],
-                        names=[*keys, "chunk_seq", "offset", "chunksize", "fp", "chunker"],
-                    )
+                    begins = [0, *ends[:-1]] if ends else []
+                    for c, more in zip(cols, ([i] * len(ends), range(len(ends)), begins, [b - a for a, b in zip(begins, ends, strict=True)], [digest.of(raw[a:b]) for a, b in zip(begins, ends, strict=True)], [name] * len(ends)), strict=True):
+                        c.extend(more)
+                if len(cols[0]) >= OUT_ROWS:
+                    yield flush()
+            yield flush()
 
     return files.select(*keys, F.col(body).alias("_body")).mapInArrow(run, ", ".join(fields))
 
