@@ -1,13 +1,16 @@
 """URL filters by a bit-parallel wildcard automaton.
 
 Glob rules are packed into multiword Shift-And masks, one bit for each state of each pattern, 64 states to a word. All
-patterns advance together over the bytes of a canonical URL (lower-cased host, then path), and all URLs of a batch
-advance together as rows of a matrix. A `*` in a rule's host part stays inside the host; in its path part it runs to
-anywhere. After the last byte the final states tell which rules fit, and the longest rule wins.
+patterns advance together over the bytes of a canonical URL (lower-cased host, a border, path), and all URLs of a batch
+advance together as rows of a matrix. The border is a byte that no text has, and no `*` runs over it, so a `*` in a
+rule's host part stays in the host and one in its path part in the path. After the last byte the final states tell which
+rules fit, and the longest rule wins; of rules of one length, the first listed.
 
 A rule such as `example.net/en/` stands for two globs, its host itself and its subdomains, each with anything after the
 path. Where no listed rule fits, the method's own globs decide; without any, the verdict is allow. A null URL or one
-without `://` has empty host and path, no rule, and is allowed. Repeated ids stay repeated rows.
+without `://` has empty host and path, no rule, and is allowed. Repeated ids stay repeated rows; an empty table gives an
+empty result. Very long URLs are read to their end, one byte of a batch's longest at a time. Only the id and the URL
+column are read, so further columns of any name (host, rule, ...) do no harm.
 """
 
 from __future__ import annotations
@@ -25,6 +28,10 @@ RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "b
 GLOBS = (("*pills*", "*", "block"), ("*casino*", "*", "block"), ("*", "*/wp-login*", "block"), ("*", "*.exe", "block"))
 
 
+#: Stands between host and path; no byte of UTF-8.
+BORDER = 0xFF
+
+
 @dataclass(frozen=True)
 class Glob:
     host: str
@@ -36,16 +43,15 @@ class ShiftAnd:
     """One bit for each literal byte of each pattern and one before it; a `*` is a loop on the state before it."""
 
     def __init__(self, globs: Sequence[Glob]):
-        states: list[tuple[int, int]] = []  # byte that leads into the state (-1: start), loop (0 none, 1 host bytes, 2 any)
+        states: list[tuple[int, bool]] = []  # byte that leads into the state (-1: start), and whether it loops
         self.final: list[tuple[int, int]] = []
         for g in globs:
-            states.append((-1, 0))
-            for part, loop in ((g.host, 1), (g.path, 2)):
-                for b in part.encode():
-                    if b == 42:
-                        states[-1] = (states[-1][0], max(loop, states[-1][1]))
-                    else:
-                        states.append((b, 0))
+            states.append((-1, False))
+            for b in (*(-42 if b == 42 else b for b in g.host.encode()), BORDER, *(-42 if b == 42 else b for b in g.path.encode())):
+                if b == -42:
+                    states[-1] = (states[-1][0], True)
+                else:
+                    states.append((b, False))
             self.final.append((len(states) - 1, g.rule))
         words = max(1, -(-len(states) // 64))
         bit = lambda i: (i // 64, np.uint64(1 << (i % 64)))
@@ -60,8 +66,7 @@ class ShiftAnd:
                 self.step[b, w] |= m
             if loop:
                 self.loop[:, w] |= m
-                if loop == 1:
-                    self.loop[47, w] &= ~m  # a host has no slash
+                self.loop[BORDER, w] &= ~m
         self.ends = [(*bit(i), r) for i, r in self.final]
 
     def run(self, urls: Sequence[bytes]) -> np.ndarray:
@@ -85,6 +90,11 @@ class ShiftAnd:
         return out
 
 
+def canonical(host: str, path: str) -> bytes:
+    """What the automaton reads."""
+    return host.encode("utf-8", "surrogatepass") + bytes([BORDER]) + path.encode("utf-8", "surrogatepass")
+
+
 def parts(url: str | Column) -> tuple[Column, Column]:
     """Host, A-Z lowered, and path of a URL column, by JVM expressions."""
     u = F.coalesce(F.col(url) if isinstance(url, str) else url, F.lit(""))
@@ -108,7 +118,7 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, globs: Seq
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            urls = [(h + p).encode("utf-8", "surrogatepass") for h, p in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist(), strict=True)]
+            urls = [canonical(h, p) for h, p in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist(), strict=True)]
             fits = automaton.run(urls)
             said: list[str | None] = [None] * len(urls)
             verdict = np.full(len(urls), "", object)
