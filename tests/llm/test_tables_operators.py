@@ -146,57 +146,92 @@ def test_search_of_large_vectors(spark, size):
         assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == want
 
 
-def test_tree_skips_most_distances_in_clusters():
-    rng = np.random.default_rng(0)
-    rows = (rng.normal(size=(40, 8))[np.repeat(np.arange(40), 200)] * 900 + rng.normal(size=(8000, 8))).astype(np.int32)
-    tree = vector_search.MTree(np.arange(8000), rows)
-    sizes = []
-    held = tree.rows
+def space_of(rows):
+    most = float(np.abs(rows).max())
+    return vector_search.Space(most, float((rows * rows).sum(1).max()) / most**2 + 1e-9, rows.shape[1])
 
-    class Counting:
-        def __len__(self):
-            return len(held)
 
-        def __getitem__(self, at):
-            sizes.append(len(at))
-            return held[at]
-
-    tree.rows = Counting()
-    tree.search(0, rows[0], 5)
-    assert sum(sizes) < 2000
+def test_tree_skips_most_distances_in_clusters():
+    rng = np.random.default_rng(0)
+    rows = rng.normal(size=(40, 8))[np.repeat(np.arange(40), 200)] * 900 + rng.normal(size=(8000, 8))
+    tree = vector_search.MTree(np.arange(8000), rows, space_of(rows))
+    whole = np.floor(rows * 256).astype(np.int64)
+    for block in ([0], [5, 205, 4000]):
+        tree.computed = 0
+        got = tree.search(rows[block], 5, np.full(len(block), np.inf))
+        for q, found in zip(block, got, strict=True):
+            near = sorted((-int(s), i) for i, s in enumerate(whole @ whole[q]))[:5]
+            assert [(-s, int(tree.ids[r])) for r, s in found] == near
+        assert tree.computed < 2000 * len(block)
+
+
+def test_deep_and_flat_trees():
+    """Rows whose distances grow by a factor each, and rows all alike."""
+    for rows in (2.0 ** np.arange(30).repeat(20)[:, None] * np.array([[1.0, -0.5]]), np.ones((500, 3)), np.zeros((200, 2))):
+        space = space_of(rows) if rows.any() else vector_search.Space(1 / 256, 1.0, 2)
+        tree = vector_search.MTree(np.arange(len(rows)), rows, space)
+        whole = [[math.floor(c * 256) for c in x] for x in rows.tolist()]
+        for q in (0, len(rows) - 1):
+            near = sorted((-sum(a * b for a, b in zip(whole[q], w, strict=True)), i) for i, w in enumerate(whole))[:4]
+            assert [(-s, int(tree.ids[r])) for r, s in tree.search(rows[[q]], 4, np.full(1, np.inf))[0]] == near
 
 
 def test_search_edges(spark):
-    rows = [(0, [0.5, -0.001]), (1, None), (2, [1.0, None]), (3, [float("nan"), 1.0]), (4, [float("inf"), 0.0]), (5, []), (50, [1.0]), (6, [0.5, -0.001]), (6, [0.25, 0.0]), (None, [1.0, 1.0]), (100, [3e38, 1.0])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in vector_search.top_k(df, F.col("vec_id") % 50 == 0, 5).collect())
-    assert got == [(0, 1, 50, 128 * 256), (0, 2, 6, 128 * 128 + 1), (0, 3, 6, 64 * 128), (0, 4, 5, 0), (50, 1, 0, 256 * 128), (50, 2, 6, 256 * 128), (50, 3, 6, 256 * 64), (50, 4, 5, 0)]
+    """Null and non-finite vectors take no part; a repeated row counts once; an id with two vectors is two queries and two candidates."""
+    rows = [(0, [0.5, -0.001]), (1, None), (2, [1.0, None]), (3, [float("nan"), 1.0]), (4, [float("inf"), 0.0]), (5, []), (50, [1.0]), (6, [0.5, -0.001]), (6, [0.25, 0.0]), (6, [0.25, 0.0]), (None, [1.0, 1.0]), (100, [3e38, 1.0]), (50, [0.0, 2.0])]
+    df = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "vec_id long, embedding array<float>, h1 int, v int, tree int")
+    got = sorted(((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in vector_search.top_k(df, F.col("vec_id") % 50 == 0, 5).collect()), key=str)
+    whole = [(i, [math.floor(float(np.float32(x)) * 256) for x in v] + [0] * (2 - len(v))) for i, v in dict.fromkeys((i, tuple(v)) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v))]
+    want = []
+    for q, v in whole:
+        if q % 50 == 0:
+            near = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in whole if (i, w) != (q, v))[:5]
+            want += [(q, n + 1, i, -s if abs(s) < 1 << 63 else None) for n, (s, i) in enumerate(near)]
+    assert got == sorted(want, key=str) and {r[2] for r in got} == {0, 5, 6, 50, 100}
     assert vector_search.top_k(df.where("false"), F.col("vec_id") % 50 == 0, 5).count() == 0
 
 
 def fits(glob, text):
-    """A glob of host and path, by recursion; a star in the host part stays in the host."""
+    """A glob of host and one of path, each by itself."""
     import re
 
-    host, path = glob
-    pattern = "".join("[^/]*" if c == "*" else re.escape(c) for c in host) + "".join("(?s:.*)" if c == "*" else re.escape(c) for c in path)
-    return re.fullmatch(pattern.encode(), text) is not None
+    return all(re.fullmatch("".join("(?s:.*)" if c == "*" else re.escape(c) for c in g), t) is not None for g, t in zip(glob, text, strict=True))
+
+
+def some_urls(rng, n):
+    part = lambda k, of: "".join(rng.choice(of) for _ in range(k))
+    return [(part(rng.randint(0, 8), "ab."), part(1, "/") + part(rng.randint(0, 8), "ab./") if rng.random() < 0.7 else "") for _ in range(n)] + [("", ""), ("é", "/ü"), ("setup.b", ""), ("a.b", "/x.b")]
+
+
+def some_globs(rng, n):
+    part = lambda k: "".join(rng.choice("ab.*") for _ in range(k))
+    return [(part(rng.randint(0, 6)), rng.choice(["/", "*", "", "*/"]) + part(rng.randint(0, 6))) for _ in range(n)] + [("*", "*.b"), ("*", "*"), ("*", ""), ("", "*")]
 
 
 def test_automaton_as_patterns():
+    """Paths that begin with a star, and URLs without a path, among others."""
     rng = random.Random(4)
-    part = lambda n: "".join(rng.choice("ab.*") for _ in range(n))
-    globs = [url_filters.Glob(part(rng.randint(0, 9)), "/" + part(rng.randint(0, 9)), i) for i in range(60)]
-    urls = [("".join(rng.choice("ab.") for _ in range(rng.randint(0, 8))) + "".join(rng.choice("ab./") for _ in range(rng.randint(0, 8)))).encode() for _ in range(300)] + [b"", "é/ü".encode()]
-    got = url_filters.ShiftAnd(globs).run(urls)
+    globs, urls = some_globs(rng, 80), some_urls(rng, 300)
+    got = url_filters.ShiftAnd([url_filters.Glob(*g, i) for i, g in enumerate(globs)]).run([url_filters.canonical(*u) for u in urls])
     for i, u in enumerate(urls):
-        assert [fits((g.host, g.path), u) for g in globs] == got[i].tolist()
+        assert [fits(g, u) for g in globs] == got[i].tolist()
+
+
+def test_automaton_as_sql():
+    rng = random.Random(5)
+    globs, urls = some_globs(rng, 40), some_urls(rng, 150)
+    got = url_filters.ShiftAnd([url_filters.Glob(*g, i) for i, g in enumerate(globs)]).run([url_filters.canonical(*u) for u in urls])
+    con = duckdb.connect()
+    for j, (h, p) in enumerate(globs):
+        said = con.execute("select host like ? and path like ? from (select unnest(?) as host, unnest(?) as path)", [h.replace("*", "%"), p.replace("*", "%"), [u[0] for u in urls], [u[1] for u in urls]]).fetchall()
+        assert [x[0] for x in said] == got[:, j].tolist()
 
 
 def test_url_edges(spark):
     urls = {
         None: ("", "", None), "": ("", "", None), "no scheme": ("", "", None), "http://A.NET": ("a.net", "", None), "http://a.net/": ("a.net", "/", "net/"), "x://net/y?z": ("net", "/y", "net/"),
         "http://www.example.net/en/a#b": ("www.example.net", "/en/a", "example.net/en/"), "http://example.net/en": ("example.net", "/en", "net/"), "http://notexample.com/de/x": ("notexample.com", "/de/x", None),
+        "http://setup.exe": ("setup.exe", "", None),
         "http://a.org/x.net/y": ("a.org", "/x.net/y", None), "http://É.ORG/fr/?q": ("É.org", "/fr/", "org/fr/"), "a://b://c/": ("b:", "//c/", None), "http://h.org/fr/" + "p" * 50_000: ("h.org", "/fr/" + "p" * 50_000, "org/fr/"),
     }
     df = spark.createDataFrame([(i, u, "x", "y") for i, u in enumerate(urls)], "page_id long, url string, host string, verdict string")
