@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import gc
+import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -26,26 +26,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, tag: str) -> str:
-    """A fresh folder in the shared place that spark.checkpoint.dir names; /tmp/checkpoints only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. Where it is unset: on one machine a folder of this application's own; on a cluster an error, as no folder is known there that all executors share."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = f"{tempfile.gettempdir()}/dupstrata-{spark.sparkContext.applicationId}"
+    return base.rstrip("/")
+
 
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A fresh folder in the shared one."""
+    return f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
 
-def cut(df: DataFrame, tag: str, release: bool = False) -> DataFrame:
-    """Write df to shared storage and read it back, so that a lost executor costs no recomputation of what is above.
 
-    release: then have the driver collect its garbage, upon which Spark deletes the files of shuffles that nothing refers
-    to any more; else those of every step stay until the driver happens to do so.
-    """
+def cut(df: DataFrame, tag: str) -> DataFrame:
+    """Write df to shared storage and read it back, so that a lost executor costs no recomputation of what is above."""
     spark, schema = df.sparkSession, df.schema
     path = scratch(spark, tag)
     df.write.parquet(path)
-    if release:
-        del df
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+    back = spark.read.schema(schema).parquet(path)
+    back._scratch = path
+    return back
+
+
+def there(spark: SparkSession, path: str):
+    """(file system, path) of Hadoop."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete what cut() wrote for these; nothing that is still to be computed may read them."""
+    for df in tables:
+        if path := getattr(df, "_scratch", None):
+            fs, at = there(df.sparkSession, path)
+            fs.delete(at, True)
 
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,8 +1,10 @@
 """Secrets, quality rules, language ID and toxicity against plain models, and their edge cases."""
 
 import hashlib
+import random
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -49,24 +51,50 @@ def test_secret_spans():
     assert kinds >= {3, 4, 5}
 
 
-def test_secret_edges(spark):
+def test_secrets_as_sql(spark):
+    """Pieces of patterns in any order, by the SQL and by the scan."""
+    rng = random.Random(8)
+    pieces = ["password", "PassWD", "ſecret", "secret", "api_key", "APIKEY", "token", "=", ":", " ", "  ", "'", '"', "abcdef", "x9/_.", "AKIA", "Z9" * 5, "Z9" * 8, "0f" * 11, "0f" * 12, "é", "\n", "-----BEGIN RSA PRIVATE KEY-----", "PRIVATE KEY", "eyJabcdefghi", ".abcdefghi_", "ftp://me:hidden1@host", "://", "@", ""]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 14))) for _ in range(1500)]
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", list(enumerate([*texts, None])))
+    got = {r[0]: r[1:] for r in con.execute(f"select doc_id, n_assign, n_access, n_hex, base_sha256, spans, blob from ({secret_scan.ORACLE})").fetchall()}
+    for i, t in enumerate([*texts, ""]):
+        d = secret_scan.digest(secret_scan.find(t))
+        assert got[i] == (d["n_assign"], d["n_access"], d["n_hex"], d["base_sha256"], d["spans"], hashlib.sha256(t.encode()).hexdigest()), t
+
+
+def test_secret_edges(spark, tmp_path):
     d = docs(spark, ODD)
-    got = secret_scan.scan(d).collect()
+    got = secret_scan.scan_with_ledger(spark, d, f"{tmp_path}/a").collect()
     assert len(got) == len(ODD) and {r["n_assign"] for r in got} == {0}
-    assert secret_scan.scan(d.where("false")).count() == 0
-    twice = d.unionAll(d)
-    assert secret_scan.scan(twice).count() == 2 * len(ODD)
+    assert secret_scan.scan_with_ledger(spark, d.where("false"), f"{tmp_path}/b").count() == 0
+    assert secret_scan.scan_with_ledger(spark, d.unionAll(d), f"{tmp_path}/c").count() == 2 * len(ODD)
 
 
-def test_ledger_scans_only_what_it_lacks(spark, tmp_path):
+def test_ledger_scans_only_what_it_lacks(spark, tmp_path, monkeypatch):
+    """Also after a run that was repeated, with the missing addresses joined instead of sent, and under other rules."""
     path = f"{tmp_path}/ledger"
     first = docs(spark, ["token=abcdef", "clean", "clean"])
     assert secret_scan.scan_with_ledger(spark, first, path).count() == 3
-    assert spark.read.parquet(path).count() == 2
+    assert secret_scan.entries(spark, path).count() == 2 and secret_scan.extend(spark, first, path) == 0
+    spark.read.parquet(f"{path}/rules={secret_scan.RULES_VERSION}").write.mode("append").parquet(f"{path}/rules={secret_scan.RULES_VERSION}")  # what a repeated run leaves
     more = docs(spark, ["token=abcdef", "clean", "secret: 1234567", "token=abcdef"])
-    assert secret_scan.scan_unseen(more, spark.read.parquet(path)).count() == 1
+    monkeypatch.setattr(secret_scan, "BROADCAST_BLOBS", 0)
+    assert secret_scan.extend(spark, more, path) == 1
     got = {r["doc_id"]: r["n_assign"] for r in secret_scan.scan_with_ledger(spark, more, path).collect()}
-    assert got == {0: 1, 1: 0, 2: 1, 3: 1} and spark.read.parquet(path).count() == 3
+    assert got == {0: 1, 1: 0, 2: 1, 3: 1} and secret_scan.entries(spark, path).count() == 3
+    assert secret_scan.scan_with_ledger(spark, first, path).count() == 3
+    monkeypatch.setattr(secret_scan, "RULES_VERSION", "other")
+    assert secret_scan.extend(spark, more, path) == -1 and secret_scan.entries(spark, path).count() == 3
+
+
+def test_query_finds_its_ledger_complete(spark, sf):
+    got = queries.op5_secret_scan(spark, sf).collect()
+    docs_, ledger = table(spark, sf, "documents"), secret_scan.ledger_of(spark, f"{sf}/documents")
+    assert secret_scan.extend(spark, docs_, ledger) == 0
+    assert sorted(queries.op5_secret_scan(spark, sf).collect()) == sorted(got)
 
 
 def plain_quality(text):
