@@ -1,6 +1,7 @@
 """Secrets, quality rules, language ID and toxicity against plain models, and their edge cases."""
 
 import hashlib
+import itertools
 import random
 import re
 
@@ -8,7 +9,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from dupstrata.llm import language_id, quality_rules, queries, secret_scan, toxicity
+from dupstrata.llm import language_id, quality_rules, queries, secret_scan, toxicity, transducers
 from dupstrata.llm.common import table
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, blob string, key string"
@@ -181,13 +182,76 @@ def test_toxicity_on_held_out(spark):
     assert sum(s < 0.5 for s in fine) / len(fine) > 0.98 and sum(s >= 0.5 for s in bad) / len(bad) > 0.85
 
 
+def chain():
+    g = toxicity.Grammar(insult={})
+    return [toxicity.insult(), toxicity.threat(), *(toxicity.context(f) for f in toxicity.FLAGS), toxicity.weigh(g.negated, g.reported, g.aimed)]
+
+
+def best_by_enumeration(parts, string):
+    """Every path of the first, every path of the second over what that wrote, and so on."""
+    some = [(tuple(string), 0.0)]
+    for t in parts:
+        some = [(out, w + more) for said, w in some for out, more in t.paths(said)]
+    return max((w for _, w in some), default=None)
+
+
+def test_composition_as_enumeration():
+    """Random transducers with several starts, readings and dead ends."""
+    rng = random.Random(3)
+    for _ in range(40):
+        parts = []
+        for _ in range(3):
+            t = transducers.Transducer({0, rng.randint(0, 2)}, {rng.randint(0, 2), rng.randint(0, 2)})
+            for _ in range(rng.randint(3, 14)):
+                t.add(rng.randint(0, 2), rng.choice("ab"), rng.choice("ab"), rng.randint(-4, 4), rng.randint(0, 2))
+            parts.append(t)
+        whole = transducers.compose(transducers.compose(parts[0], parts[1]), parts[2])
+        small = transducers.trimmed(whole)
+        for n in range(5):
+            for string in itertools.product("ab", repeat=n):
+                want = best_by_enumeration(parts, string)
+                assert whole.best(string) == small.best(string) == want, string
+
+
+def test_grammar_as_enumeration():
+    """All clauses of up to 3 symbols and random longer ones."""
+    g = toxicity.Grammar(insult={})
+    whole, parts = toxicity.machine(g.negated, g.reported, g.aimed), chain()
+    few = [(0, "other"), (0, "threat"), (0, "target"), (0, "negation"), (0, "reported"), (3, "other"), (8, "target"), (12, "threat")]
+    rng = random.Random(6)
+    clauses = [c for n in range(4) for c in itertools.product(few, repeat=n)] + [[rng.choice(toxicity.SYMBOLS) for _ in range(rng.randint(4, 7))] for _ in range(60)]
+    for c in clauses:
+        assert whole.best(c) == pytest.approx(best_by_enumeration(parts, c)), c
+
+
+def plain_clause(words, g):
+    """The score by the grammar's meaning: each word that is an insult or a threat, and also something else, is taken as either."""
+    readings = []
+    for w in words:
+        level, other = g.symbol(w)
+        readings.append([other] + [level] * (level > 0))
+    best = None
+    for taken in itertools.product(*readings):
+        has = {f for f in toxicity.FLAGS if f in taken}
+        factor = (g.negated if "negation" in has else 1) * (g.reported if "reported" in has else 1) * (g.aimed if "target" in has else 1)
+        threat = toxicity.THREAT_WEIGHT * (1 if "target" in has else toxicity.UNAIMED)
+        score = factor * sum(threat if x == "threat" else x * toxicity.UNIT if isinstance(x, int) else 0 for x in taken)
+        best = score if best is None else max(best, score)
+    return best
+
+
 def test_clauses():
-    g = toxicity.Grammar(insult={b"fool": 1.0}, threat={b"harm": 1.0})
-    hot = {b"fool": (1.0, 0.0), b"harm": (0.0, 1.0)}
-    score = lambda s: toxicity.clause_score(s.encode().split(), hot, g)[0]
-    assert score("what a fool") < score("you fool") and score("you are not a fool") < score("you fool")
-    assert score("she said you fool") < score("you fool") and score("nothing here") == 0
-    assert score("i will harm you") < score("you i will harm")
+    g = toxicity.Grammar(insult={b"fool": 1.0, b"she": 0.5}, stems={b"idio": 0.75})
+    reader = toxicity.Reader(g)
+    rng = random.Random(2)
+    words = ["fool", "she", "idiotic", "kill", "you", "not", "said", "the", "never", "cat"]
+    for _ in range(400):
+        clause = [rng.choice(words).encode() for _ in range(rng.randint(0, 7))]
+        want = plain_clause(clause, g)
+        assert reader.measure(b" ".join(clause))[1] == pytest.approx(want), clause
+    score = lambda t: reader.measure(t.encode())[1]
+    assert score("you fool") > score("a fool") > score("not a fool") and score("a fool you are not") < score("a fool you are") and score("a fool she said") < score("a fool")
+    assert score("kill you") > score("kill it") > 0 == score("not said you")
 
 
 def test_toxicity_edges(spark, labels):
