@@ -3,24 +3,36 @@
 A text's pieces form a lattice: an edge for every vocabulary piece that stands at a place, and a byte-fallback edge for a
 character that no piece holds alone. The best segmentation is the path with the largest sum of piece scores. A forward
 Viterbi pass gives the best score of every prefix; a backward A* search from the end of the lattice uses those scores as
-exact heuristics and pops complete paths in order of score.
+exact heuristics and pops complete paths in order of score. As the heuristics are exact, each entry of the queue stands for
+a complete path of just its cost, so entries beyond the n best are dropped and the queue holds n at most: memory grows with
+the length of a word and not with its lattice, whatever the script. Of equal paths, the one with the longer last piece comes
+first.
 
-No piece crosses the start of a word (checked when a model is read), so the lattice of a text is a chain of the lattices
-of its words, each with the blanks before it. Viterbi runs over many distinct words at once, and also gives each word's
-distance to its second-best path. A text's N best paths differ from its best one only in the N - 1 words that are
-nearest to their second-best path; A* runs on those words, and a best-first merge joins their lists.
+No piece crosses the start of a word, so the lattice of a text is a chain of the lattices of its words, each with the blanks
+before it. A model with a piece that does cross one is refused when it is read: a limit of this operator. Viterbi runs over
+many distinct words of up to LONG characters at once and word by word for longer ones, by the same rule for ties, and also
+gives each word's distance to its second-best path. A text's N best paths differ from its best one only in the N - 1 words
+that are nearest to their second-best path; A* runs on those words, and a best-first merge joins their lists. All N
+segmentations are returned.
+
+Scores are the model file's own. For a merge model (scores are the ranks of merges) the path of the largest sum is not what
+merging by rank gives; own=True adds the merged ids, which equal the model's own encoder's for each word.
 
 Ids decode to the very text: pieces' marks become blanks, bytes become bytes, and the blank put before the text goes. A
 mark that stands in the text itself is written in bytes. Null text has null ids; an empty text has no ids and score 0.
-Repeated ids stay repeated rows; an empty table gives an empty result. The model is read on the driver from a path that
-is a parameter, and travels with the tasks; it is never trained.
+Very long texts, and very long words, are encoded whole. Repeated ids stay repeated rows; an empty table gives an empty
+result. Only the text and the kept columns are read, so further columns of any name do no harm. The model is read on the
+driver from a path that is a parameter, and travels with the tasks; it is never trained.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 import re
+from array import array
 from dataclasses import dataclass
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -86,23 +98,34 @@ class PieceModel:
                 out += [self.byte_ids[b] for b in (MARK if unit[start] == OWN_MARK else unit[start]).encode("utf-8", "replace")]
         return out
 
-    def forward(self, unit: str) -> tuple[list[float], list[list[tuple[int, float, int]]]]:
-        """Viterbi: the best score of every prefix, and the edges (start, score, id) that end at each place."""
-        best = [0.0] + [-np.inf] * len(unit)
-        into: list[list[tuple[int, float, int]]] = [[] for _ in range(len(unit) + 1)]
+    def forward(self, unit: str) -> array:
+        """Viterbi: the best score of every prefix."""
+        best = array("d", [0.0]) + array("d", [-math.inf]) * len(unit)
         for at in range(len(unit)):
-            for end, score, i in self.edges(unit, at):
-                into[end].append((at, score, i))
-                best[end] = max(best[end], best[at] + score)
-        return best, into
+            here = best[at]
+            for end, score, _ in self.edges(unit, at):
+                if here + score > best[end]:
+                    best[end] = here + score
+        return best
+
+    def back_edges(self, unit: str, end: int) -> list[tuple[int, float, int]]:
+        """(start, score, id) for the pieces that end there, short ones first; id -1 is byte fallback."""
+        found = []
+        for start in range(end - 1, max(-1, end - self.longest - 1), -1):
+            i = self.ids.get(unit[start:end])
+            if i is not None:
+                found.append((start, self.scores[i], i))
+            elif start == end - 1:
+                found.append((start, self.unknown, -1))
+        return found
 
     def n_best(self, unit: str, n: int) -> list[tuple[float, list[int]]]:
         """The n best segmentations (score, ids), by A* from the end; of equal ones, those with longer last pieces first."""
-        best, into = self.forward(unit)
-        queue: list[tuple[float, tuple[int, ...], int, float, tuple | None]] = [(-best[-1], (), len(unit), 0.0, None)]
+        best, serial = self.forward(unit), 0
+        queue: list[tuple] = [(-best[-1], 0, len(unit), 0.0, None)]  # cost, order, place, score after it, (step, path after it)
         out = []
         while queue and len(out) < n:
-            cost, starts, at, after, path = heapq.heappop(queue)
+            cost, _, at, after, path = queue.pop(0)
             if at == 0:
                 steps = []
                 while path:
@@ -110,10 +133,39 @@ class PieceModel:
                     path = path[1]
                 out.append((-cost, self.spell(unit, steps)))
                 continue
-            for start, score, i in into[at]:
-                heapq.heappush(queue, (-(best[start] + score + after), (*starts, start), start, score + after, ((start, i), path)))
+            for start, score, i in self.back_edges(unit, at):
+                serial -= 1
+                queue.append((-(best[start] + score + after), serial, start, score + after, ((start, i), path)))
+            queue.sort(key=itemgetter(0, 1))
+            del queue[n - len(out) :]
         return out
 
+    def merge(self, unit: str) -> list[int]:
+        """Ids by merging neighbours: time and again the pair whose joined piece has the best score, the leftmost of equals."""
+        parts: list[str | None] = list(unit)
+        after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
+        queue: list[tuple[float, int, str]] = []
+
+        def offer(k: int) -> None:
+            if k >= 0 and after[k] < len(parts):
+                both = parts[k] + parts[after[k]]
+                if both in self.ids:
+                    heapq.heappush(queue, (-self.scores[self.ids[both]], k, both))
+
+        for k in range(len(parts)):
+            offer(k)
+        while queue:
+            _, k, both = heapq.heappop(queue)
+            if parts[k] is None or after[k] >= len(parts) or parts[k] + parts[after[k]] != both:
+                continue
+            gone = after[k]
+            parts[k], parts[gone], after[k] = both, None, after[gone]
+            if after[k] < len(parts):
+                before[after[k]] = k
+            offer(k)
+            offer(before[k])
+        return self.spell(unit, [(k, self.ids.get(p, -1)) for k, p in enumerate(parts) if p is not None])
+
 
 class Trie:
     """Transitions (node, character) of all pieces in an open-addressed table, for many lookups at once."""
@@ -173,8 +225,9 @@ class Encoder:
 
     MEMORY = 300_000
 
-    def __init__(self, model: PieceModel, n: int):
-        self.model, self.n, self.trie = model, n, Trie(model)
+    def __init__(self, model: PieceModel, n: int, trie: Trie | None = None):
+        self.model, self.n, self.trie = model, n, trie or Trie(model)
+        self.merged: dict[str, bytes] = {}
         self.words: dict[str, tuple[bytes, float, float]] = {}  # ids, score, distance to the second-best path
         self.lists: dict[str, list[tuple[float, list[int]]]] = {}
         self.scores = np.array(model.scores + [model.unknown])
@@ -272,17 +325,24 @@ class Encoder:
                 self.words[w] = (raw[4 * begin : 4 * end], score, distance)
             begin = end
 
-    def n_best_word(self, word: str) -> list[tuple[float, list[int]]]:
+    def n_best_word(self, word: str) -> list[tuple[float, bytes]]:
+        """The word's n best, the path that words holds first."""
         got = self.lists.get(word)
         if got is None:
             if len(self.lists) > self.MEMORY // 10:
                 self.lists.clear()
-            got = self.lists[word] = self.model.n_best(word, self.n)
+            got = [(s, np.array(ids, np.int32).tobytes()) for s, ids in self.model.n_best(word, self.n)]
+            first = self.words[word][0]
+            got = [(got[0][0], first), *[g for g in got if g[1] != first]][: self.n]
+            self.lists[word] = got
         return got
 
-    def encode(self, texts: list[str | None]) -> list[tuple[bytes | None, list[float]]]:
-        """For each text the ids of its best path and the scores of its n best."""
-        split = [UNIT.findall(MARK + t.replace(MARK, OWN_MARK).replace(" ", MARK)) if t else [] for t in texts]
+    def split(self, text: str) -> list[str]:
+        return UNIT.findall(MARK + text.replace(MARK, OWN_MARK).replace(" ", MARK)) if text else []
+
+    def encode(self, texts: list[str | None]) -> list[list[tuple[float, bytes]] | None]:
+        """For each text its n best segmentations: (score, ids); None for null."""
+        split = [self.split(t or "") for t in texts]
         new = set().union(*split) if split else set()
         if not new <= self.words.keys():
             missing = [w for w in new if w not in self.words]
@@ -293,61 +353,96 @@ class Encoder:
         out = []
         for t, units in zip(texts, split, strict=True):
             if t is None:
-                out.append((None, []))
+                out.append(None)
                 continue
             rows = [self.words[u] for u in units]
-            scores = [sum(r[1] for r in rows)]
-            if self.n > 1:
-                scores = self._merge(scores[0], heapq.nsmallest(self.n - 1, [(r[2], k) for k, r in enumerate(rows)]), units)
-            out.append((b"".join([r[0] for r in rows]), scores))
+            best = (sum(r[1] for r in rows), b"".join([r[0] for r in rows]))
+            out.append([best, *(self._merge(best, rows, units) if self.n > 1 else [])])
         return out
 
-    def _merge(self, best: float, near: list[tuple[float, int]], units: list[str]) -> list[float]:
-        """The n best sums: best-first over the lists of the words nearest to their second-best path."""
-        lists = [[got[0][0] - s for s, _ in got] for d, k in near if d < np.inf for got in [self.n_best_word(units[k])]]
+    def _merge(self, best: tuple[float, bytes], rows: list[tuple[bytes, float, float]], units: list[str]) -> list[tuple[float, bytes]]:
+        """The second to n-th: best-first over the lists of the words nearest to their second-best path."""
+        near = [(d, k) for d, k in heapq.nsmallest(self.n - 1, [(r[2], k) for k, r in enumerate(rows)]) if d < np.inf]
+        near.sort(key=itemgetter(1))
+        lists = []
+        for _, k in near:
+            got = self.n_best_word(units[k])
+            lists.append([(got[0][0] - s, ids) for s, ids in got])
         queue, seen, out = [(0.0, (0,) * len(lists))], {(0,) * len(lists)}, []
+        begins = None
         while queue and len(out) < self.n:
             cost, at = heapq.heappop(queue)
-            out.append(best - cost)
+            if not any(at):
+                out.append(best)
+            else:
+                if begins is None:
+                    wanted = {k for _, k in near}
+                    begins, place = {}, 0
+                    for k, r in enumerate(rows):
+                        if k in wanted:
+                            begins[k] = place
+                        place += len(r[0])
+                pieces, place = [], 0
+                for (_, k), every, i in zip(near, lists, at, strict=True):
+                    if i:
+                        pieces += [best[1][place : begins[k]], every[i][1]]
+                        place = begins[k] + len(rows[k][0])
+                out.append((best[0] - cost, b"".join([*pieces, best[1][place:]])))
             for k, i in enumerate(at):
                 if i + 1 < len(lists[k]):
                     more = (*at[:k], i + 1, *at[k + 1 :])
                     if more not in seen:
                         seen.add(more)
-                        heapq.heappush(queue, (cost + lists[k][i + 1] - lists[k][i], more))
-        return out
+                        heapq.heappush(queue, (cost + lists[k][i + 1][0] - lists[k][i][0], more))
+        return out[1:]
+
+    def merge(self, text: str) -> bytes:
+        """Ids of a text by merges."""
+        out = []
+        for u in self.split(text):
+            got = self.merged.get(u)
+            if got is None:
+                if len(self.merged) > self.MEMORY:
+                    self.merged.clear()
+                got = self.merged[u] = np.array(self.model.merge(u), np.int32).tobytes()
+            out.append(got)
+        return b"".join(out)
 
     def decode(self, ids: bytes) -> str:
         raw = b"".join(map(self.spelt.__getitem__, np.frombuffer(ids, np.int32).tolist()))
         return raw.decode("utf-8", "replace").removeprefix(" ")
 
 
-def encode(docs: DataFrame, model_path: str, n: int = 3, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns named in keep, then ids (32-bit integers, little-endian), scores (of the n best) and round_trip (whether the ids decode to the text; null for null)."""
+def encode(docs: DataFrame, model_path: str, n: int = 3, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), own: bool = False) -> DataFrame:
+    """The columns named in keep, then ids (32-bit integers, little-endian), scores (of the n best), others (ids of the second to n-th) and round_trip (whether the ids decode to the text; null for null); with own also own_ids, by merges."""
     model = PieceModel.read(model_path)
+    trie = Trie(model)  # made once, here
 
     def run(batch: pa.RecordBatch) -> dict[str, list]:
-        encoder = run.__dict__.get("encoder") or run.__dict__.setdefault("encoder", Encoder(model, n))
+        encoder = run.__dict__.get("encoder") or run.__dict__.setdefault("encoder", Encoder(model, n, trie))
         said = [None if raw is None else raw.decode("utf-8", "replace") for raw in batch.column("text").to_pylist()]
         got = encoder.encode(said)
         return {f"keep_{k}": batch.column(f"keep_{k}") for k in keep} | {
-            "ids": [ids for ids, _ in got],
-            "scores": [scores for _, scores in got],
-            "round_trip": [None if ids is None else encoder.decode(ids) == t for (ids, _), t in zip(got, said, strict=True)],
-        }
+            "ids": [None if g is None else g[0][1] for g in got],
+            "scores": [None if g is None else [s for s, _ in g] for g in got],
+            "others": [None if g is None else [ids for _, ids in g[1:]] for g in got],
+            "round_trip": [None if g is None else encoder.decode(g[0][1]) == t for g, t in zip(got, said, strict=True)],
+        } | ({"own_ids": [None if t is None else encoder.merge(t) for t in said]} if own else {})
 
     kinds = dict(docs.dtypes)
-    df = docs.select(F.col(text_col).cast("binary").alias("text"), *[F.col(f"`{k}`").alias(f"keep_{k}") for k in keep])
-    out = map_texts(df, run, ", ".join([*[f"`keep_{k}` {kinds[k]}" for k in keep], "ids binary", "scores array<double>", "round_trip boolean"]))
-    return out.select(*[F.col(f"keep_{k}").alias(k) for k in keep], "ids", "scores", "round_trip")
+    df = docs.select(F.col(f"`{text_col}`").cast("binary").alias("text"), *[F.col(f"`{k}`").alias(f"keep_{k}") for k in keep])
+    more = ["own_ids"] if own else []
+    out = map_texts(df, run, ", ".join([*[f"`keep_{k}` {kinds[k]}" for k in keep], "ids binary", "scores array<double>", "others array<binary>", "round_trip boolean", *[f"{c} binary" for c in more]]))
+    return out.select(*[F.col(f"keep_{k}").alias(k) for k in keep], "ids", "scores", "others", "round_trip", *more)
 
 
 def decode(encoded: DataFrame, model_path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns named in keep, and the text that the ids spell."""
     model = PieceModel.read(model_path)
+    trie = Trie(model)
 
     def run(batch: pa.RecordBatch) -> dict[str, list]:
-        encoder = run.__dict__.get("encoder") or run.__dict__.setdefault("encoder", Encoder(model, 1))
+        encoder = run.__dict__.get("encoder") or run.__dict__.setdefault("encoder", Encoder(model, 1, trie))
         return {f"keep_{k}": batch.column(f"keep_{k}") for k in keep} | {"text": [None if ids is None else encoder.decode(ids) for ids in batch.column("text").to_pylist()]}
 
     kinds = dict(encoded.dtypes)
@@ -358,7 +453,9 @@ def decode(encoded: DataFrame, model_path: str, keep: tuple[str, ...] = ("doc_id
 
 def digest(encoded: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """What a query shows of encoded texts."""
+    own = [(F.octet_length("own_ids") / 4).cast("long").alias("own_pieces"), F.sha2("own_ids", 256).alias("own_ids_sha256")] if "own_ids" in encoded.columns else []
     return encoded.select(
         *keep, (F.octet_length("ids") / 4).cast("long").alias("n_pieces"), F.get("scores", F.lit(0)).alias("best_score"),
-        F.get("scores", F.lit(1)).alias("second_score"), F.get("scores", F.lit(2)).alias("third_score"), F.sha2("ids", 256).alias("ids_sha256"), "round_trip",
+        F.get("scores", F.lit(1)).alias("second_score"), F.get("scores", F.lit(2)).alias("third_score"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.get("others", F.lit(0)), 256).alias("second_sha256"), F.sha2(F.get("others", F.lit(1)), 256).alias("third_sha256"), "round_trip", *own,
     )

@@ -153,26 +153,86 @@ def every_path(model, unit):
 
 
 def test_n_best_as_all_paths(model):
+    """Scores of the n best, and that each list of ids is another path of just that score."""
     rng = random.Random(1)
     encoder = piece_codec.Encoder(model, 4)
     for _ in range(150):
         t = "".join(rng.choice(["the", "ing", "ß", "一", "é", "\n", "x", "ab", "▁", "  ", "😀", "s"]) for _ in range(rng.randint(1, 5)))
         unit = piece_codec.MARK + t.replace(piece_codec.MARK, piece_codec.OWN_MARK).replace(" ", piece_codec.MARK)
         want = every_path(model, unit)
-        ((ids, scores),) = encoder.encode([t])
-        assert [round(s, 3) for s in scores] == [round(s, 3) for s, _ in want[:4]]
-        assert list(memoryview(ids).cast("i")) in [p for s, p in want if abs(s - want[0][0]) < 1e-6]
-        assert encoder.decode(ids) == t
-        assert [round(s, 3) for s, _ in model.n_best(unit, 4)] == [round(s, 3) for s, _ in want[:4]]
-
-
-def test_long_words_and_memory(model):
+        (got,) = encoder.encode([t])
+        assert [round(s, 3) for s, _ in got] == [round(s, 3) for s, _ in want[:4]]
+        assert len({ids for _, ids in got}) == len(got)
+        for score, ids in got:
+            assert list(memoryview(ids).cast("i")) in [p for s, p in want if abs(s - score) < 1e-6] and encoder.decode(ids) == t
+        alone = model.n_best(unit, 4)
+        assert [round(s, 3) for s, _ in alone] == [round(s, 3) for s, _ in want[:4]] and len({tuple(p) for _, p in alone}) == len(alone)
+
+
+def test_n_best_across_words(model):
+    rng = random.Random(4)
+    encoder = piece_codec.Encoder(model, 3)
+    for _ in range(30):
+        t = " ".join(rng.choice(["ab", "the", "s", "é", "xx"]) for _ in range(rng.randint(2, 4)))
+        units = encoder.split(t)
+        every = [(0.0, [])]
+        for u in units:
+            every = [(s + r, [*p, *q]) for s, p in every for r, q in every_path(model, u)]
+        every.sort(key=lambda x: -x[0])
+        (got,) = encoder.encode([t])
+        assert [round(s, 3) for s, _ in got] == [round(s, 3) for s, _ in every[:3]] and len({ids for _, ids in got}) == len(got)
+        for score, ids in got:
+            assert list(memoryview(ids).cast("i")) in [p for s, p in every if abs(s - score) < 1e-6] and encoder.decode(ids) == t
+
+
+def test_words_alone_as_together(model, monkeypatch):
+    """Words over LONG take another way to the same paths, ties included."""
+    rng = random.Random(5)
+    words = list({"".join(rng.choice("abcdeinst一é") for _ in range(rng.randint(1, 40))) for _ in range(300)} | {"x" * k for k in range(1, 45)})
+    both = []
+    for limit in (48, 0):
+        monkeypatch.setattr(piece_codec, "LONG", limit)
+        both.append(piece_codec.Encoder(model, 3).encode(words))
+    assert [[(round(s, 6), ids) for s, ids in x] for x in both[0]] == [[(round(s, 6), ids) for s, ids in x] for x in both[1]]
+
+
+def test_memory(model):
     encoder = piece_codec.Encoder(model, 2)
     encoder.MEMORY = 50
     rng = random.Random(3)
     texts = ["".join(rng.choice("abcdefgh ") for _ in range(400)) for _ in range(20)] + ["x" * 3000, "né" * 200]
-    for t, (ids, scores) in zip(texts, encoder.encode(texts), strict=True):
-        assert encoder.decode(ids) == t and len(scores) == 2 and scores[0] >= scores[1]
+    for t, ((score, ids), (second, other)) in zip(texts, encoder.encode(texts), strict=True):
+        assert encoder.decode(ids) == encoder.decode(other) == t and ids != other and score >= second
+
+
+@pytest.mark.parametrize("alphabet", ["abcdefghijklmnopqrstuvwxyz", "x", "一二三国人", "абвге", "การ"])
+def test_long_texts_without_a_blank(model, alphabet):
+    """200,000 characters in one word; the process' memory may grow by 600 MB at most."""
+    import resource
+
+    rng = random.Random(6)
+    text = "".join(rng.choice(alphabet) for _ in range(200_000))
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    encoder = piece_codec.Encoder(model, 3)
+    (got,) = encoder.encode([text])
+    scores, ids = [s for s, _ in got], [x for _, x in got]
+    assert scores == sorted(scores, reverse=True) and len(set(ids)) == len(ids) and all(encoder.decode(x) == text for x in ids)
+    assert len(got) == 3 or alphabet == "一二三国人"  # no two of these characters make a piece
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 600_000
+
+
+def test_merges_as_the_models_own_encoder(model, spark, sf):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    words = sorted({w for r in table(spark, sf, "documents").collect() for w in (r["text"] or "").split()})
+    same = best = 0
+    for w in words:
+        own = model.merge(piece_codec.MARK + w)
+        same += own == sp.encode(w)
+        best += own == model.n_best(piece_codec.MARK + w, 1)[0][1]
+    assert same >= 0.999 * len(words)
+    print("words", len(words), "own encoder", same, "best path", best)
 
 
 def test_pieces_of_all_documents(spark, sf):
