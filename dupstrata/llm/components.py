@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dupstrata.llm.common import cut
+from dupstrata.llm.common import cut, drop
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -18,7 +18,8 @@ def components(links: DataFrame) -> DataFrame:
     edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct(), "links")
     before = _mark(edges)
     while before[0]:
-        edges = cut(_small_star(_large_star(edges)), "links")
+        last, edges = edges, cut(_small_star(_large_star(edges)), "stars")
+        drop(last)
         after = _mark(edges)
         if after == before:
             break

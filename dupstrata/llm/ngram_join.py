@@ -1,50 +1,60 @@
 """N-gram Jaccard join in metric space, exact.
 
-A document is the set of its distinct word shingles. Two documents link when their Jaccard similarity reaches num/den.
-The join works in the metric of symmetric differences, which bounds Jaccard distance from both sides:
-
-1. Windows by size. The empty set is the first pivot: a set's distance from it is its size, and the triangle inequality
-   admits partners within a factor of den/num. Sizes are cut into levels wider than that; a set whose window passes its
-   level's end is replicated into the next level, so both sets of every linking pair meet in one level.
-2. Voronoi regions. Whole documents lie at distance near 1 from any document pivot, so regions around those would
-   replicate every document into every region. In a level the shingle universe is therefore cut by a hash into more
-   classes than linking sets can differ in; on at least one class both projections are equal. The projections are the
-   pivots of that class, and a region is the set of documents at distance 0 from one. A document lies in one region of
-   each class, in order, up to as many as its own bound asks for. Small sets use regions of two or three classes.
-3. Inside a region the smallest document id is the pivot; every member's exact similarity to it is taken.
-4. Regions whose members are not connected then go on recursively. Pairs of members that are not connected yet are
-   compared by stored class digests, in memory: each class that differs adds at least one to the symmetric difference, a
-   bound that rules out nearly all. The others are compared exactly: all of them or, if they are many for the region's
-   size, those of some pivots, and the region goes on with what they connected and twice as many pivots. A region of more
-   than SMALL_REGION members becomes sub-regions, one for every two of its blocks, so no task holds a whole large one.
+A document is the set of its distinct word shingles. Two documents link when their Jaccard similarity reaches num/den, that
+is, when their Jaccard distance d, a metric, is at most r = 1 - num/den.
+
+First an exact filter finds documents that can link at all. Sizes of linking sets differ by a factor den/num at most; sizes
+are cut into levels wider than that, and a set whose window passes its level's end is replicated into the next. In a level
+the shingle universe is cut by a hash into more classes than linking sets can differ in, so on one class at least they
+agree. A document has a key for the content of each class, in order, up to as many as its own bound asks for (small sets:
+of two or three classes), and documents that share a key are a cell. Documents alone in all their cells link with nothing.
+
+The cells are joined as metric spaces:
+
+1. Every document goes to one pivot, the smallest id that its cells hold, and its exact distance from it is taken.
+   Those within r are links. Cells whose members are connected by now are done; of cells with equal members, one goes on.
+2. A cell of more than CELL_BYTES of sets is cut into Voronoi regions: PIVOTS of its members are pivots, every member is
+   measured against them, and lies in the region of its nearest one. A member x is replicated into the region of a pivot
+   q if d(x, q) <= d(x, p) + 2 r, p being its nearest: by the triangle inequality no link is lost. Members farther than
+   1 - 2 r from all pivots make a far region, into which members farther than 1 - 3 r are replicated. Regions are cells
+   again. One that holds more than half of its cell (a ball of texts alike, or texts all unlike) becomes a cell for every
+   two of its blocks instead.
+3. A smaller cell is joined in one task, in memory, by the same recursion down to regions of LEAF members; there, pairs are
+   passed over that are connected, that differ too much in size, in distance from a pivot (triangle inequality), or in
+   digests of their classes; the others are compared exactly.
 
 Equal sets collapse first (their digests are compared, not their texts), so a text that a third of all rows share is one
-member. Only ids, digests and bounds are shuffled for all documents; texts move only for documents that share a region.
-Links become components by star steps. Nothing is capped or sampled. Shingles are compared by 64-bit hashes.
+member. For all documents only ids, digests and keys are shuffled; sets move only for documents that share a cell. Links
+become components by star steps. Nothing is capped or sampled. Shingles are compared by 64-bit hashes.
 
 Documents with fewer words than a shingle have their whole word sequence as the only shingle. Null or wordless texts
 have the empty set and link with nothing. Rows with one id count as one document in links; a row with null id links with
-nothing. An empty table gives an empty result.
+nothing. An empty table gives an empty result. Very long texts are sets like others; one alone may exceed CELL_BYTES. Only
+the id and the text column are read, so further columns of any name do no harm.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dupstrata.llm.common import LOWER, cut, map_texts, texts
+from dupstrata.llm.common import LOWER, cut, drop, map_texts, texts
 from dupstrata.llm.components import components
 
-SMALL_REGION, MORE_PIVOTS = 4096, 16
+CELL_BYTES, PIVOTS, LEAF = 16 << 20, 8, 32
+#: Members that stream past one copy of a pivot's set.
+STREAM = 2048
+#: Most ids that are sent to every task: 8 bytes each.
+BROADCAST_IDS = 1_000_000
 LEAST_CONTENT = 6.0
 
 
@@ -125,24 +135,29 @@ class Geometry:
         return [at, level_of(self, at.high + 1)] if above > at.high else [at]
 
 
-@lru_cache(maxsize=100_000)
+#: Plain tables and not cached functions, as they travel to executors by value together with the functions that use them.
+_LEVELS: dict[Geometry, list[Level]] = {}
+_SUBSETS: dict[tuple[int, int], np.ndarray] = {}
+
+
 def level_of(g: Geometry, size: int) -> Level:
-    at = g.level(1)
-    while at.high < size:
-        at = g.level(at.high + 1)
-    return at
+    known = _LEVELS.setdefault(g, [g.level(1)])
+    while known[-1].high < size:
+        known.append(g.level(known[-1].high + 1))
+    return known[bisect_left(known, size, key=lambda level: level.high)]
 
 
-@lru_cache(maxsize=1000)
 def subsets(n: int, k: int) -> np.ndarray:
-    return np.array(list(combinations(range(n), k)))
+    if (n, k) not in _SUBSETS:
+        _SUBSETS[n, k] = np.array(list(combinations(range(n), k)))
+    return _SUBSETS[n, k]
 
 
 def region_keys(h: np.ndarray, g: Geometry, salt: int = 0) -> np.ndarray:
-    """The regions of a set, over its levels."""
+    """The keys of a set, over its levels."""
     out = []
     for at in g.levels(len(h)) if len(h) else []:
-        most = g.bound(len(h) + at.high)
+        most = g.bound(len(h) + min(at.high, g.den * len(h) // g.num))  # with the largest set of the level that can link
         if not most:
             continue  # only equal sets link
         of = scramble(h, 2 * salt + 101) % np.uint64(at.classes)
@@ -182,21 +197,21 @@ def sets(docs: DataFrame, n: int) -> DataFrame:
     return map_texts(docs, run, "doc_id long, n_shingles long, s1 long, s2 long")
 
 
-def regions(docs: DataFrame, n: int, g: Geometry) -> DataFrame:
-    """(key, s1): every region of every document; equal sets of one slice give one row."""
+def keys(docs: DataFrame, n: int, g: Geometry) -> DataFrame:
+    """(key, s1): every key of every document; equal sets of one slice give one row."""
 
     def run(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
         known = run.__dict__.setdefault("known", WordHashes())
-        keys, marks = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        named, marks = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         seen = set()
         for raw in batch.column("text").to_pylist():
             h = shingle_set(raw, n, known)
             s1 = set_digest(h)[0]
             if s1 not in seen:
                 seen.add(s1)
-                keys.append(region_keys(h, g))
-                marks.append(np.full(len(keys[-1]), s1, np.int64))
-        return {"key": signed(np.concatenate(keys)), "s1": np.concatenate(marks)}
+                named.append(region_keys(h, g))
+                marks.append(np.full(len(named[-1]), s1, np.int64))
+        return {"key": signed(np.concatenate(named)), "s1": np.concatenate(marks)}
 
     return map_texts(docs, run, "key long, s1 long")
 
@@ -228,47 +243,6 @@ def shared(entries: DataFrame, node: str) -> DataFrame:
     return dealt.mapInArrow(run, f"key long, {node} long")
 
 
-def compare(pairs: DataFrame, bodies: DataFrame, n: int, g: Geometry) -> DataFrame:
-    """The pairs (a, b) that link, by their whole texts where their class digests don't rule them out. bodies: node, text, size, mark."""
-    pairs = _possible(pairs.select("a", "b").distinct(), bodies, g)
-    left = bodies.select(F.col("node").alias("a"), F.col("text").alias("ta"))
-    right = bodies.select(F.col("node").alias("b"), F.col("text"))
-    both = pairs.join(left, "a").join(right, "b")
-
-    def run(batch: pa.RecordBatch) -> dict[str, list]:
-        known = run.__dict__.setdefault("known", WordHashes())
-        a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-        held, last, fits = None, None, []
-        for i, (x, y) in enumerate(zip(a, b, strict=True)):
-            if last is None or y != last:
-                held, last = shingle_set(batch.column("text")[i].as_py(), n, known), y
-            fits.append(links(shingle_set(batch.column("ta")[i].as_py(), n, known), held, g.num, g.den))
-        at = [i for i, ok in enumerate(fits) if ok]
-        return {"a": [a[i] for i in at], "b": [b[i] for i in at]}
-
-    return map_texts(both, run, "a long, b long")
-
-
-def _possible(pairs: DataFrame, bodies: DataFrame, g: Geometry) -> DataFrame:
-    """The pairs whose sizes and class digests allow a link."""
-    marks = [bodies.select(F.col("node").alias(c), F.col("size").alias(f"size_{c}"), F.col("mark").alias(f"mark_{c}")) for c in "ab"]
-    both = pairs.join(marks[0], "a").join(marks[1], "b")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes = [batch.column(f"size_{c}").to_pylist() for c in "ab"]
-            able = []
-            for i, (x, y, p, q) in enumerate(zip(*sizes, batch.column("mark_a"), batch.column("mark_b"), strict=True)):
-                if g.den * min(x, y) >= g.num * max(x, y):
-                    p, q = np.frombuffer(p.as_buffer(), np.uint8), np.frombuffer(q.as_buffer(), np.uint8)
-                    least = min(len(p), len(q))
-                    if int((fold(p, least) != fold(q, least)).sum()) <= g.bound(x + y):
-                        able.append(i)
-            yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(able, pa.int64())) for c in "ab"], names=["a", "b"])
-
-    return both.mapInArrow(run, "a long, b long").distinct()
-
-
 def sketch(h: np.ndarray) -> bytes:
     """One byte for each class of a power of two of classes, about two shingles to a class."""
     k = 1 << max(3, (len(h) // 2).bit_length())
@@ -284,58 +258,172 @@ def fold(mark: np.ndarray, k: int) -> np.ndarray:
     return mark
 
 
-def candidates(nodes: np.ndarray, sizes: np.ndarray, comps: np.ndarray, marks: list[bytes], g: Geometry, pivots: int) -> tuple[list[tuple[int, int]], bool]:
-    """Pairs of a region's members that may link and are not connected, and whether those are all of them."""
-    order = np.lexsort((nodes, scramble(nodes.view(np.uint64), 5)))
-    nodes, sizes, comps = nodes[order], sizes[order], comps[order]
-    raw = [np.frombuffer(marks[i], np.uint8) for i in order]
-    least = min(map(len, raw))
-    table = np.stack([fold(m, least) for m in raw])
-    found: list[tuple[int, int]] = []
-    for i in range(len(nodes) - 1):
-        if i >= pivots and len(found) > 8 * len(nodes):
-            return found, False
-        rest = slice(i + 1, None)
-        able = comps[rest] != comps[i]
-        able &= (g.den * np.minimum(sizes[rest], sizes[i]) >= g.num * np.maximum(sizes[rest], sizes[i]))
-        at = np.flatnonzero(able) + i + 1
-        differ = (table[at] != table[i]).sum(1)
-        at = at[differ <= (sizes[at] + sizes[i]) * (g.den - g.num) // (g.den + g.num)]
-        found += [(int(nodes[i]), int(nodes[j])) for j in at]
-    return found, True
-
-
-def compare_regions(members: DataFrame, g: Geometry, pivots: int) -> DataFrame:
-    """(key, a, b) for candidate pairs; (key, null, null) for regions that must go on. members: key, node, comp, size, mark."""
+class Cell:
+    """Sets of one cell or of pivots, as one flat array; lab tells which are connected."""
+
+    def __init__(self, nodes: list[int], comps: list[int], sets: list[np.ndarray], g: Geometry):
+        self.g, self.nodes, self.lab, self.sets = g, np.array(nodes, np.int64), np.array(comps, np.int64), sets
+        self.sizes = np.array([len(h) for h in sets], np.int64)
+        self.links: list[tuple[int, int]] = []
+        self.r = 1 - g.num / g.den
+        self.marks: dict[int, np.ndarray] = {}
+
+    def common(self, h: np.ndarray, idx: np.ndarray) -> np.ndarray:
+        """Sizes of the intersections of h with these members."""
+        if not len(h) or not len(idx):
+            return np.zeros(len(idx), np.int64)
+        flat = np.concatenate([self.sets[i] for i in idx])
+        at = np.minimum(np.searchsorted(h, flat), len(h) - 1)
+        ends = np.cumsum(self.sizes[idx])
+        total = np.concatenate([[0], np.cumsum(h[at] == flat)])
+        return total[ends] - total[ends - self.sizes[idx]]
+
+    def distance(self, h: np.ndarray, idx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Jaccard distances of these members from h, and which link."""
+        both = self.common(h, idx)
+        union = self.sizes[idx] + len(h) - both
+        return 1 - both / np.maximum(1, union), (both > 0) & (self.g.den * both >= self.g.num * union)
+
+    def connect(self, i: int, idx: np.ndarray) -> None:
+        for j in idx.tolist():
+            if self.lab[i] != self.lab[j]:
+                self.links.append((int(self.nodes[i]), int(self.nodes[j])))
+                self.lab[self.lab == self.lab[j]] = self.lab[i]
+
+    def join(self, idx: np.ndarray) -> None:
+        """Connects all members of idx that link, over others of idx or not."""
+        if len(idx) < 2 or (self.lab[idx] == self.lab[idx[0]]).all():
+            return
+        if len(idx) <= LEAF:
+            self.compare(idx, np.zeros((len(idx), 0)))
+            return
+        away = np.zeros((len(idx), 0))
+        at = 0
+        while away.shape[1] < PIVOTS:
+            d, near = self.distance(self.sets[idx[at]], idx)
+            away = np.hstack([away, d[:, None]])
+            self.connect(idx[at], idx[near])
+            at = int(away.min(1).argmax())
+            if away[at].min() == 0:
+                break
+        for region in regions(away, self.r):
+            if 2 * len(region) > len(idx):
+                self.compare(idx[region], away[region])
+            else:
+                self.join(idx[region])
+
+    def compare(self, idx: np.ndarray, away: np.ndarray) -> None:
+        """Pairs of idx that no bound rules out, exactly."""
+        g, table = self.g, None
+        if len(idx) > 2 * LEAF:
+            least = min(len(self.mark(i)) for i in idx)
+            table = np.stack([fold(self.mark(i), least) for i in idx])
+        sizes = self.sizes[idx]
+        for k in range(len(idx) - 1):
+            rest = slice(k + 1, None)
+            able = (self.lab[idx[rest]] != self.lab[idx[k]]) & (g.den * np.minimum(sizes[rest], sizes[k]) >= g.num * np.maximum(sizes[rest], sizes[k]))
+            if away.shape[1]:
+                able &= (np.abs(away[rest] - away[k]) <= self.r + 1e-9).all(1)
+            at = np.flatnonzero(able) + k + 1
+            if table is not None and len(at):
+                at = at[(table[at] != table[k]).sum(1) <= (sizes[at] + sizes[k]) * (g.den - g.num) // (g.den + g.num)]
+            if len(at):
+                _, near = self.distance(self.sets[idx[k]], idx[at])
+                self.connect(idx[k], idx[at[near]])
+
+    def mark(self, i: int) -> np.ndarray:
+        if i not in self.marks:
+            self.marks[i] = np.frombuffer(sketch(self.sets[i]), np.uint8)
+        return self.marks[i]
+
+
+def regions(away: np.ndarray, r: float) -> list[np.ndarray]:
+    """Members of each Voronoi region, from their distances (a column a pivot), with the boundary members that may link into it; the far region last."""
+    least, slack = away.min(1), 1e-9
+    near = least <= 1 - 2 * r + slack
+    return [*(np.flatnonzero(near & (away[:, j] <= least + 2 * r + slack)) for j in range(away.shape[1])), np.flatnonzero(least > 1 - 3 * r - slack)]
+
+
+def shared_sets(batch: pa.RecordBatch, column: str = "shingles") -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(column)]
+
+
+def join_cells(members: DataFrame, g: Geometry) -> DataFrame:
+    """(a, b): links that connect what links inside each cell. members: key, node, comp, shingles; a cell is CELL_BYTES at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows, out = None, [], []
 
         def close() -> None:
             if len(rows) > 1:
-                nodes, comps, sizes = (np.array([r[i] for r in rows], np.int64) for i in range(3))
-                found, whole = candidates(nodes, sizes, comps, [r[3] for r in rows], g, pivots)
-                out.extend((key, a, b) for a, b in found)
-                if not whole:
-                    out.append((key, None, None))
+                cell = Cell([r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], g)
+                cell.join(np.arange(len(rows)))
+                out.extend(cell.links)
 
         def flush() -> pa.RecordBatch:
-            cols = [pa.array([r[i] for r in out], pa.int64()) for i in range(3)]
+            cols = [pa.array([x[i] for x in out], pa.int64()) for i in range(2)]
             out.clear()
-            return pa.RecordBatch.from_arrays(cols, names=["key", "a", "b"])
+            return pa.RecordBatch.from_arrays(cols, names=["a", "b"])
 
         for batch in batches:
-            for k, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "node", "comp", "size", "mark")), strict=True):
+            for k, node, comp, h in zip(*(batch.column(c).to_pylist() for c in ("key", "node", "comp")), shared_sets(batch), strict=True):
                 if k != key:
                     close()
                     key, rows = k, []
-                rows.append(row)
+                rows.append((node, comp, h.copy()))
             yield flush()
         close()
         yield flush()
 
-    dealt = members.select("key", "node", "comp", "size", "mark").repartition("key").sortWithinPartitions("key")
-    return dealt.mapInArrow(run, "key long, a long, b long")
+    dealt = members.select("key", "node", "comp", "shingles").repartition("key").sortWithinPartitions("key", "node")
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def past_pivots(pivots: DataFrame, members: DataFrame, bodies: DataFrame, g: Geometry, split: bool) -> DataFrame:
+    """Streams the members of each cell past its pivots' sets. (a, b) are links with a pivot; with split, (key, node) are rows of Voronoi regions.
+
+    pivots: key, node (few a cell); members: key, node. A cell's members are dealt over one task for each STREAM of them.
+    """
+    groups = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / STREAM).cast("int").alias("groups"))
+    first = pivots.join(groups, "key").select("key", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("grp"), F.lit(0).alias("kind"), "node")
+    rest = members.join(groups, "key").select("key", F.pmod(F.xxhash64("node"), F.col("groups")).cast("int").alias("grp"), F.lit(1).alias("kind"), "node")
+    dealt = first.unionByName(rest).join(bodies.select("node", "shingles"), "node").repartition("key", "grp").sortWithinPartitions("key", "grp", "kind", "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+        for batch in batches:
+            keys_, grps, kinds, nodes = (batch.column(c).to_pylist() for c in ("key", "grp", "kind", "node"))
+            out: list[tuple] = []
+            begin = 0
+            some = shared_sets(batch)
+            while begin < batch.num_rows:
+                end = begin
+                while end < batch.num_rows and keys_[end] == keys_[begin] and grps[end] == grps[begin] and kinds[end] == kinds[begin]:
+                    end += 1
+                if at != (keys_[begin], grps[begin]):
+                    at, held = (keys_[begin], grps[begin]), []
+                if kinds[begin] == 0:
+                    held += [(nodes[i], some[i].copy()) for i in range(begin, end)]
+                else:
+                    part = Cell(nodes[begin:end], nodes[begin:end], some[begin:end], g)
+                    every = np.arange(end - begin)
+                    away = []
+                    for pivot, h in held:
+                        d, near = part.distance(h, every)
+                        away.append(d)
+                        out += [(None, None, pivot, int(x)) for x in part.nodes[near] if x != pivot]
+                    if split:
+                        for name, region in zip(region_names(keys_[begin], len(held)), regions(np.stack(away, 1), part.r), strict=True):
+                            out += [(name, int(x), None, None) for x in part.nodes[region]]
+                begin = end
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(4)], names=["key", "node", "a", "b"])
+
+    return dealt.mapInArrow(run, "key long, node long, a long, b long")
+
+
+def region_names(cell: int, many: int) -> list[int]:
+    """Keys of a cell's regions, the far one's last."""
+    return signed(scramble(np.arange(many + 1, dtype=np.uint64) + np.uint64(cell & (2**64 - 1)), 77)).tolist()
 
 
 def join(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -345,56 +433,80 @@ def join(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, id_col: str =
     base = cut(sets(body, n), "shingle-sets")
     held = base.where("doc_id is not null and n_shingles > 0")
     reps = cut(held.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("node")), "distinct-sets")  # read again, so that joins with it can split a text that very many rows share
-    members = cut(shared(regions(body.where("doc_id is not null"), n, g), "s1").join(reps, "s1").select("key", "node"), "regions")
+    members = cut(shared(keys(body.where("doc_id is not null"), n, g), "s1").join(reps, "s1").select("key", "node"), "cells")
     out = reps.join(_connected(members, reps, body, n, g), "node", "left").select("s1", "s2", F.col("n_shingles").alias("n"), F.coalesce("component", "node").alias("component_id"))
+    drop(members)
     same = (base["s1"] == out["s1"]) & (base["s2"] == out["s2"]) & (base["n_shingles"] == out["n"]) & (base["n_shingles"] > 0) & base["doc_id"].isNotNull()
     return base.join(out, same, "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def _connected(members: DataFrame, reps: DataFrame, body: DataFrame, n: int, g: Geometry) -> DataFrame:
-    """(node, component) of what links in any region connect."""
-    able = reps.join(members.select("node").distinct(), "node", "left_semi")
+    """(node, component) of what links in any cell connect."""
+    able = cut(members.select("node").distinct().join(reps, "node"), "members")
     bodies = cut(_bodies(body, able, n), "bodies")
-    pivots = members.groupBy("key").agg(F.min("node").alias("a"))
-    pairs = members.join(pivots, "key").where("node <> a").select("a", F.col("node").alias("b"))
-    found = cut(compare(pairs, bodies, n, g), "found")
-    cells, depth = members, 0
+    least = members.groupBy("key").agg(F.min("node").alias("pivot"))
+    one = members.join(least, "key").groupBy("node").agg(F.min("pivot").alias("key")).where("node <> key")
+    one = cut(one.select("key", "node"), "first-pivots")
+    found = cut(past_pivots(one.select("key", F.col("key").alias("node")).distinct(), one, bodies, g, False).select("a", "b"), "links")
+    drop(one)
+    cells = members.withColumn("parent", F.lit(None).cast("long"))
     while True:
         comp = cut(components(found), "components")
-        labelled = cells.join(comp, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
-        state = labelled.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", "m")
-        going = cut(labelled.join(state, "key"), "open-regions")
+        going = cut(_open(cells, comp, bodies), "open-cells")
         if going.isEmpty():
+            drop(able, bodies, found, going)
             return comp
-        pivots, depth = MORE_PIVOTS << depth, depth + 1
-        going = _blocks(going, depth)
-        told = cut(compare_regions(going.join(bodies.select("node", "size", "mark"), "node"), g, pivots), "candidates")
-        pairs = told.where("a is not null").select("a", "b")
-        cells = going.join(told.where("a is null").select("key").distinct(), "key", "left_semi").select("key", "node")
-        found = cut(found.unionAll(compare(pairs, bodies, n, g)), "found")
+        small = going.where(F.col("bytes") <= CELL_BYTES)
+        dense = going.where((F.col("bytes") > CELL_BYTES) & (2 * F.col("m") > F.col("parent")))
+        large = going.where((F.col("bytes") > CELL_BYTES) & (F.col("parent").isNull() | (2 * F.col("m") <= F.col("parent"))))
+        whole = small.select("key", "node", "comp").unionAll(_blocks(dense))
+        linked = join_cells(whole.join(bodies.select("node", "shingles"), "node"), g)
+        place = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("node"), "node"))
+        pivots = large.withColumn("_place", place).where(F.col("_place") <= PIVOTS).select("key", "node")
+        told = cut(past_pivots(pivots, large.select("key", "node"), bodies, g, True), "regions")
+        parts = told.where("node is not null").select("key", "node")
+        of = large.groupBy("key").agg(F.max("m").alias("parent"))
+        names = of.select(F.col("key").alias("_cell"), "parent").mapInArrow(_names, "key long, parent long")
+        before, old = found, cells
+        found = cut(before.unionAll(linked).unionAll(told.where("a is not null").select("a", "b")), "links")
+        cells = cut(parts.join(names, "key"), "cells")
+        drop(before, comp, going, told, *([old] if old is not members else []))
+
+
+def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key of a region, members of the cell it came from)."""
+    for batch in batches:
+        cells, many = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        yield pa.RecordBatch.from_arrays([pa.array([x for k in cells for x in region_names(k, PIVOTS)], pa.int64()), pa.array([m for m in many for _ in range(PIVOTS + 1)], pa.int64())], names=["key", "parent"])
+
+
+def _open(cells: DataFrame, comp: DataFrame, bodies: DataFrame) -> DataFrame:
+    """key, node, comp, m, bytes, parent of cells whose members are not connected; of cells with equal members, one."""
+    sized = bodies.select("node", F.octet_length("shingles").alias("_size"))
+    labelled = cells.join(comp, "node", "left").join(sized, "node").select("key", "node", "parent", F.coalesce("component", "node").alias("comp"), "_size")
+    mark = [F.sum(F.xxhash64(F.lit(salt), "node").cast("decimal(20,0)")).alias(f"_m{salt}") for salt in (1, 2)]
+    state = labelled.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum("_size").alias("bytes"), F.max("parent").alias("_p"), *mark).where("lo <> hi")
+    kept = state.groupBy("m", "_m1", "_m2").agg(F.min("key").alias("key"), F.max("bytes").alias("bytes"), F.max("_p").alias("parent"))
+    return labelled.drop("parent", "_size").join(kept.select("key", "m", "bytes", "parent"), "key").select("key", "node", "comp", "m", "bytes", "parent")
 
 
 def _bodies(body: DataFrame, able: DataFrame, n: int) -> DataFrame:
-    """node, text, size, mark (its sketch) for documents that share a region; of rows with that id, those whose set it is, and one of neighbours."""
+    """node, shingles (its set, sorted) for documents that share a cell; of rows with that id, one of those whose set it is."""
 
     def run(batch: pa.RecordBatch) -> dict[str, list]:
         known = run.__dict__.setdefault("known", WordHashes())
         got = [shingle_set(raw, n, known) for raw in batch.column("text").to_pylist()]
-        fits = []
-        for i, (h, node, *mark) in enumerate(zip(got, *(batch.column(c).to_pylist() for c in ("node", "s1", "s2")), strict=True)):
-            if set_digest(h) == tuple(mark) and run.__dict__.get("last") != node:
-                run.__dict__["last"] = node
-                fits.append(i)
-        return {"node": batch.column("node").take(fits), "text": batch.column("text").take(fits), "size": [len(got[i]) for i in fits], "mark": [sketch(got[i]) for i in fits]}
-
-    chosen = body.join(able.select("node", "s1", "s2"), F.col("doc_id") == F.col("node")).select("node", "s1", "s2", "text")
-    return map_texts(chosen, run, "node long, text binary, size long, mark binary")
-
-
-def _blocks(members: DataFrame, depth: int) -> DataFrame:
-    """Regions of more than SMALL_REGION members as one for every two of their blocks; any two members share one."""
-    n = F.ceil(F.col("m") * 3 / SMALL_REGION).cast("int")
-    own = F.pmod(F.xxhash64(F.lit(depth), "node"), n).cast("int")
-    cut_up = members.where(F.col("m") > SMALL_REGION).withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), n - 1)))
-    key = F.xxhash64("key", F.least("_own", "_other"), F.greatest("_own", "_other"))
-    return members.where(F.col("m") <= SMALL_REGION).select("key", "node", "comp").unionAll(cut_up.select(key.alias("key"), "node", "comp"))
+        fits = [i for i, (h, *mark) in enumerate(zip(got, *(batch.column(c).to_pylist() for c in ("s1", "s2")), strict=True)) if set_digest(h) == tuple(mark)]
+        return {"node": batch.column("node").take(pa.array(fits, pa.int64())), "shingles": [got[i].tobytes() for i in fits]}
+
+    few = F.broadcast(able) if able.count() <= BROADCAST_IDS else able
+    chosen = body.join(few.select("node", "s1", "s2"), F.col("doc_id") == F.col("node")).select("node", "s1", "s2", "text")
+    return map_texts(chosen, run, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
+
+
+def _blocks(members: DataFrame) -> DataFrame:
+    """Cells as one for every two of their blocks, each of CELL_BYTES at most but for chance; any two members share one."""
+    n = F.greatest(F.lit(1), F.ceil(F.col("bytes") * 3 / CELL_BYTES)).cast("int")
+    own = F.pmod(F.xxhash64(F.lit(3), "node"), n).cast("int")
+    cut_up = members.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), n - 1)))
+    return cut_up.select(F.xxhash64("key", F.least("_own", "_other"), F.greatest("_own", "_other")).alias("key"), "node", "comp")

@@ -70,15 +70,61 @@ def test_chains_and_near_misses(spark, n, num, den):
     assert joined(df, n, num, den) == classes(list(enumerate(texts)), n, num, den)
 
 
-def test_large_regions_go_on(spark, monkeypatch):
-    """With small limits the recursion runs: more pivots, and regions in blocks."""
-    monkeypatch.setattr(ngram_join, "SMALL_REGION", 6)
-    monkeypatch.setattr(ngram_join, "MORE_PIVOTS", 2)
+@pytest.mark.parametrize("cell, stream, leaf", [(2000, 7, 2), (6000, 2048, 4), (16 << 20, 2048, 3)])
+def test_recursion(spark, monkeypatch, cell, stream, leaf):
+    """With small limits: Voronoi regions over tasks, far regions, blocks, and the recursion in memory."""
+    monkeypatch.setattr(ngram_join, "CELL_BYTES", cell)
+    monkeypatch.setattr(ngram_join, "STREAM", stream)
+    monkeypatch.setattr(ngram_join, "LEAF", leaf)
+    monkeypatch.setattr(ngram_join, "PIVOTS", 3)
     rng = random.Random(9)
-    common = [f"c{i}" for i in range(70)]
-    texts = [" ".join(common + [f"x{rng.randint(0, 10**6)}" for _ in range(rng.choice((2, 9, 30)))]) for _ in range(60)]
+    texts = []
+    for group in range(4):
+        common = [f"c{group}x{i}" for i in range(70)]
+        for _ in range(25):
+            body = list(common)
+            for _ in range(rng.choice((0, 1, 3, 6))):
+                body[rng.randrange(len(body))] = f"x{rng.randint(0, 10**6)}"
+            texts.append(" ".join(body + [f"x{rng.randint(0, 10**6)}" for _ in range(rng.choice((0, 2, 9, 30)))]))
+    rng.shuffle(texts)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert joined(df, 3, 9, 10) == classes(list(enumerate(texts)), 3, 9, 10)
+    for n, num, den in ((3, 9, 10), (2, 4, 5)):
+        assert joined(df, n, num, den) == classes(list(enumerate(texts)), n, num, den)
+
+
+def test_cell_in_memory():
+    """The join of one cell alone, of points in clusters, chains and far from all, whatever the size of its leaves."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for num, den, leaf in ((9, 10, 2), (4, 5, 4), (1, 2, 8)):
+        g, sets = ngram_join.Geometry(num, den), []
+        for _ in range(12):
+            h = rng.integers(0, 2**62, 60).astype(np.uint64)
+            for _ in range(int(rng.integers(1, 18))):
+                sets.append(np.unique(h))
+                h = h.copy()
+                h[rng.integers(0, 60, int(rng.integers(1, 9)))] = rng.integers(0, 2**62)
+        old, ngram_join.LEAF = ngram_join.LEAF, leaf
+        try:
+            cell = ngram_join.Cell(list(range(len(sets))), list(range(len(sets))), sets, g)
+            cell.join(np.arange(len(sets)))
+        finally:
+            ngram_join.LEAF = old
+        parent = list(range(len(sets)))
+
+        def find(x):
+            while parent[x] != x:  # noqa: B023
+                x = parent[x]  # noqa: B023
+            return x
+
+        for i in range(len(sets)):
+            for j in range(i):
+                if ngram_join.links(sets[i], sets[j], num, den):
+                    parent[max(find(i), find(j))] = min(find(i), find(j))
+        groups = lambda of: sorted(sorted(k for k in range(len(sets)) if of(k) == x) for x in {of(k) for k in range(len(sets))})  # noqa: B023, E731
+        assert groups(lambda k: int(cell.lab[k])) == groups(find)  # noqa: B023
+        assert all(ngram_join.links(sets[a], sets[b], num, den) for a, b in cell.links)
 
 
 def test_region_bounds():
