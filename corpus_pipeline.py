@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dupstrata.llm import language_id, mixing, ngram_join, piece_codec, secret_scan
-from dupstrata.llm.common import cut, held_out, table
+from dupstrata.llm.common import cut, drop, held_out, table
 from dupstrata.llm.queries import PIECE_MODEL
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -20,27 +20,35 @@ LEAST_SURE = 0.2
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Null texts and texts without a letter go, as do those of a low score; repeated rows and ids stay, an empty table stays empty, very long texts are read whole."""
     model = language_id.fit(docs, ~held_out("doc_id", language_id.HELD_PARTS, language_id.HELD_PART))
     said = language_id.classify(docs, model, keep=COLUMNS[1:])
     return said.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SURE)).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows go by a key of id and text, as an id may be null or stand for several texts; rows of one key are copies."""
+    """Rows go by a key of id and text, as an id may be null or stand for several texts; rows of one key are copies.
+
+    Null and wordless texts link with nothing: each such row stays. Of equal rows one stays, that of the smallest other
+    columns; of a group, the row of the smallest id, null ids last. Texts move once at most: rows with a marked key (one
+    that goes, or that several rows have) are told from the others by a join that sends the keys to all tasks while they
+    are few.
+    """
     docs = docs.select(*COLUMNS, F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1).alias("row_key"))
     groups = ngram_join.join(docs, n=5, num=4, den=5, id_col="row_key").withColumnRenamed("doc_id", "row_key")
     names = docs.select("row_key", "doc_id").distinct()
     keys = cut(groups.groupBy("row_key", "component_id").agg(F.count(F.lit(1)).alias("n"), F.max("n_shingles").alias("n_shingles")).join(names, "row_key"), "row-keys")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key"))
-    kept = keys.groupBy("component_id").agg(first.alias("first")).select(F.col("first.row_key").alias("row_key"))
-    gone = keys.join(kept, "row_key", "left_anti").select("row_key")
-    twice = keys.where("n > 1 and n_shingles > 0").join(kept, "row_key", "left_semi").select("row_key")
-    left = docs.join(gone, "row_key", "left_anti")
-    if twice.isEmpty():
-        return left.select(*COLUMNS)
+    kept = keys.groupBy("component_id").agg(first.alias("first")).select(F.col("first.row_key").alias("row_key"), F.lit(True).alias("stays"))
+    marked = keys.join(kept, "row_key", "left").where("stays is null or (n > 1 and n_shingles > 0)")
+    marked = cut(marked.select("row_key", F.coalesce("stays", F.lit(False)).alias("stays")), "marked-rows")
+    told = docs.join(F.broadcast(marked) if marked.count() <= ngram_join.BROADCAST_IDS else marked, "row_key", "left")
     others = [c for c in COLUMNS if c != "text"]
-    once = left.join(twice, "row_key", "left_semi").groupBy("row_key").agg(F.min(F.struct(*others)).alias("row"), F.first("text").alias("text"))
-    return left.join(twice, "row_key", "left_anti").select(*COLUMNS).unionByName(once.select("row.*", "text"))
+    left = told.where("stays is null").select(*COLUMNS)
+    if marked.where("stays").isEmpty():
+        return left
+    once = told.where("stays").groupBy("row_key").agg(F.min(F.struct(*others)).alias("row"), F.first("text").alias("text"))
+    return left.unionByName(once.select("row.*", "text"))
 
 
 def drop_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,14 +60,15 @@ def drop_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each copy; the one document of a source that is taken in part stays whole if half of it is taken."""
+    """A row for each copy; the one document of a source that is taken in part stays whole if half of it is taken. Wordless texts have nothing to take and go; a null source is a source of its own."""
     taken = mixing.copies(mixing.mix(docs, keep=COLUMNS))
     return taken.where(2 * F.col("words") >= F.col("size")).select("kept.*")
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row for each row: its N best segmentations by lattice, and the ids that the model's own merges give. Null texts have null ids, very long ones are encoded whole, repeated rows stay."""
     keep = ("doc_id", "lang", "source")
-    encoded = piece_codec.encode(docs, PIECE_MODEL, n=3, keep=keep)
+    encoded = piece_codec.encode(docs, PIECE_MODEL, n=3, keep=keep, own=True)
     return piece_codec.digest(encoded, keep)
 
 
@@ -78,7 +87,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = cut(docs, "pipeline")
+            drop(before)
     return docs
