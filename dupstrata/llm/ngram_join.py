@@ -7,19 +7,21 @@ First an exact filter finds documents that can link at all. Sizes of linking set
 are cut into levels wider than that, and a set whose window passes its level's end is replicated into the next. In a level
 the shingle universe is cut by a hash into more classes than linking sets can differ in, so on one class at least they
 agree. A document has a key for the content of each class, in order, up to as many as its own bound asks for (small sets:
-of two or three classes), and documents that share a key are a cell. Documents alone in all their cells link with nothing.
-
-The cells are joined as metric spaces:
-
-1. Every document goes to one pivot, the smallest id that its cells hold, and its exact distance from it is taken.
-   Those within r are links. Cells whose members are connected by now are done; of cells with equal members, one goes on.
-2. A cell of more than CELL_BYTES of sets is cut into Voronoi regions: PIVOTS of its members are pivots, every member is
-   measured against them, and lies in the region of its nearest one. A member x is replicated into the region of a pivot
-   q if d(x, q) <= d(x, p) + 2 r, p being its nearest: by the triangle inequality no link is lost. Members farther than
-   1 - 2 r from all pivots make a far region, into which members farther than 1 - 3 r are replicated. Regions are cells
-   again. One that holds more than half of its cell (a ball of texts alike, or texts all unlike) becomes a cell for every
-   two of its blocks instead.
-3. A smaller cell is joined in one task, in memory, by the same recursion down to regions of LEAF members; there, pairs are
+of two or three classes), and documents that share a key are a cell. Inside a cell, pairs stay possible unless their sizes or the digests of their classes
+(each that differs adds one to the symmetric difference) rule them out. What possible pairs connect is a bundle, found by
+star steps over ids alone; all links lie inside bundles, and documents in none link with nothing.
+
+A bundle is a metric space to join. A set moves once, into its bundle, however many cells its document is in.
+
+1. A bundle of more than CELL_BYTES of sets is cut into Voronoi regions: PIVOTS of its members are pivots, every member is
+   measured against them, and lies in the region of its nearest one. Members within r of a pivot are links. A member x is
+   replicated into the region of a pivot q if d(x, q) <= d(x, p) + 2 r, p being its nearest: by the triangle inequality no
+   link is lost. Members farther than 1 - 2 r from all pivots make a far region, into which members farther than 1 - 3 r
+   are replicated. Regions whose members are connected by now are done; of those with equal members, one goes on; larger
+   ones than CELL_BYTES are cut again.
+2. A region that holds more than half of what it was cut from (a ball of texts alike, or texts all unlike) is cut by the
+   filter's cells instead, and a cell that is too large itself becomes one for every two of its blocks.
+3. What is smaller is joined in one task, in memory, by the same recursion down to regions of LEAF members; there, pairs are
    passed over that are connected, that differ too much in size, in distance from a pivot (triangle inequality), or in
    digests of their classes; the others are compared exactly.
 
@@ -379,8 +381,8 @@ def join_cells(members: DataFrame, g: Geometry) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def past_pivots(pivots: DataFrame, members: DataFrame, bodies: DataFrame, g: Geometry, split: bool) -> DataFrame:
-    """Streams the members of each cell past its pivots' sets. (a, b) are links with a pivot; with split, (key, node) are rows of Voronoi regions.
+def past_pivots(pivots: DataFrame, members: DataFrame, bodies: DataFrame, g: Geometry) -> DataFrame:
+    """Streams the members of each cell past its pivots' sets. (a, b) are links with a pivot, (key, node) rows of Voronoi regions.
 
     pivots: key, node (few a cell); members: key, node. A cell's members are dealt over one task for each STREAM of them.
     """
@@ -412,9 +414,8 @@ def past_pivots(pivots: DataFrame, members: DataFrame, bodies: DataFrame, g: Geo
                         d, near = part.distance(h, every)
                         away.append(d)
                         out += [(None, None, pivot, int(x)) for x in part.nodes[near] if x != pivot]
-                    if split:
-                        for name, region in zip(region_names(keys_[begin], len(held)), regions(np.stack(away, 1), part.r), strict=True):
-                            out += [(name, int(x), None, None) for x in part.nodes[region]]
+                    for name, region in zip([*region_names(keys_[begin], PIVOTS)[: len(held)], region_names(keys_[begin], PIVOTS)[-1]], regions(np.stack(away, 1), part.r), strict=True):
+                        out += [(name, int(x), None, None) for x in part.nodes[region]]
                 begin = end
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(4)], names=["key", "node", "a", "b"])
 
@@ -442,35 +443,38 @@ def join(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, id_col: str =
 
 def _connected(members: DataFrame, reps: DataFrame, body: DataFrame, n: int, g: Geometry) -> DataFrame:
     """(node, component) of what links in any cell connect."""
+    spark = members.sparkSession
     able = cut(members.select("node").distinct().join(reps, "node"), "members")
-    bodies = cut(_bodies(body, able, n), "bodies")
-    least = members.groupBy("key").agg(F.min("node").alias("pivot"))
-    one = members.join(least, "key").groupBy("node").agg(F.min("pivot").alias("key")).where("node <> key")
-    one = cut(one.select("key", "node"), "first-pivots")
-    found = cut(past_pivots(one.select("key", F.col("key").alias("node")).distinct(), one, bodies, g, False).select("a", "b"), "links")
-    drop(one)
-    cells = members.withColumn("parent", F.lit(None).cast("long"))
+    marks = cut(_bodies(body, able, n, False), "marks")
+    possible = cut(possible_links(_distinct_cells(members).join(marks, "node"), g), "possible")
+    drop(marks)
+    bundles = cut(components(possible), "bundles")
+    drop(possible)
+    bodies = cut(_bodies(body, bundles.select("node").join(able, "node"), n, True), "bodies")
+    cells = cut(bundles.select(F.col("component").alias("key"), "node", F.lit(None).cast("long").alias("parent")), "bundles")
+    found = cut(spark.createDataFrame([], "a long, b long"), "links")
+    comp = spark.createDataFrame([], "node long, component long")
     while True:
-        comp = cut(components(found), "components")
         going = cut(_open(cells, comp, bodies), "open-cells")
         if going.isEmpty():
-            drop(able, bodies, found, going)
+            drop(able, bodies, bundles, found, going, cells)
             return comp
-        small = going.where(F.col("bytes") <= CELL_BYTES)
-        dense = going.where((F.col("bytes") > CELL_BYTES) & (2 * F.col("m") > F.col("parent")))
-        large = going.where((F.col("bytes") > CELL_BYTES) & (F.col("parent").isNull() | (2 * F.col("m") <= F.col("parent"))))
-        whole = small.select("key", "node", "comp").unionAll(_blocks(dense))
+        fits, half = F.col("bytes") <= CELL_BYTES, 2 * F.col("m") > F.col("parent")
+        fallen, dense = going.where(~fits & (F.col("parent") == 0)), going.where(~fits & (F.col("parent") > 0) & half)
+        large = going.where(~fits & (F.col("parent").isNull() | (F.col("parent") > 0) & ~half))
+        whole = going.where(fits).select("key", "node", "comp").unionAll(_blocks(fallen))
         linked = join_cells(whole.join(bodies.select("node", "shingles"), "node"), g)
         place = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("node"), "node"))
         pivots = large.withColumn("_place", place).where(F.col("_place") <= PIVOTS).select("key", "node")
-        told = cut(past_pivots(pivots, large.select("key", "node"), bodies, g, True), "regions")
-        parts = told.where("node is not null").select("key", "node")
-        of = large.groupBy("key").agg(F.max("m").alias("parent"))
-        names = of.select(F.col("key").alias("_cell"), "parent").mapInArrow(_names, "key long, parent long")
+        told = cut(past_pivots(pivots, large.select("key", "node"), bodies, g), "regions")
+        names = large.groupBy("key").agg(F.max("m").alias("parent")).mapInArrow(_names, "key long, parent long")
+        parts = told.where("node is not null").select("key", "node").join(names, "key").select("key", "node", "parent")
+        again = dense.select(F.col("key").alias("_region"), "node").join(members, "node").select(F.xxhash64("_region", "key").alias("key"), "node", F.lit(0).cast("long").alias("parent"))
         before, old = found, cells
         found = cut(before.unionAll(linked).unionAll(told.where("a is not null").select("a", "b")), "links")
-        cells = cut(parts.join(names, "key"), "cells")
-        drop(before, comp, going, told, *([old] if old is not members else []))
+        cells = cut(parts.unionByName(again), "cells")
+        drop(before, comp, going, told, old)
+        comp = cut(components(found), "components")
 
 
 def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -490,18 +494,80 @@ def _open(cells: DataFrame, comp: DataFrame, bodies: DataFrame) -> DataFrame:
     return labelled.drop("parent", "_size").join(kept.select("key", "m", "bytes", "parent"), "key").select("key", "node", "comp", "m", "bytes", "parent")
 
 
-def _bodies(body: DataFrame, able: DataFrame, n: int) -> DataFrame:
-    """node, shingles (its set, sorted) for documents that share a cell; of rows with that id, one of those whose set it is."""
+def _distinct_cells(members: DataFrame) -> DataFrame:
+    """key, node of cells; of those with equal members, one."""
+    mark = [F.sum(F.xxhash64(F.lit(salt), "node").cast("decimal(20,0)")).alias(f"_m{salt}") for salt in (1, 2)]
+    kept = members.groupBy("key").agg(F.count(F.lit(1)).alias("_m"), *mark).groupBy("_m", "_m1", "_m2").agg(F.min("key").alias("key"))
+    return members.join(kept.select("key"), "key", "left_semi")
+
+
+def possible_links(members: DataFrame, g: Geometry) -> DataFrame:
+    """(a, b): pairs that connect what may link inside each cell. members: key, node, size, mark. Of a cell with more than CELL_BYTES of marks, all members are connected."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows, held, out = None, [], 0, []
+
+        def close() -> None:
+            if len(rows) > 1:
+                out.extend(_forest(rows, g))
+
+        def flush() -> pa.RecordBatch:
+            cols = [pa.array([x[i] for x in out], pa.int64()) for i in range(2)]
+            out.clear()
+            return pa.RecordBatch.from_arrays(cols, names=["a", "b"])
+
+        for batch in batches:
+            for k, node, size, mark in zip(*(batch.column(c).to_pylist() for c in ("key", "node", "size", "mark")), strict=True):
+                if k != key:
+                    close()
+                    key, rows, held = k, [], 0
+                held += len(mark)
+                if held > CELL_BYTES:
+                    out.extend((rows[0][0], r[0]) for r in [*rows[1:], (node,)])
+                    del rows[1:]
+                else:
+                    rows.append((node, size, mark))
+            yield flush()
+        close()
+        yield flush()
+
+    dealt = members.select("key", "node", "size", "mark").repartition("key").sortWithinPartitions("key", "node")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def _forest(rows: list[tuple[int, int, bytes]], g: Geometry) -> list[tuple[int, int]]:
+    sizes = np.array([r[1] for r in rows], np.int64)
+    raw = [np.frombuffer(r[2], np.uint8) for r in rows]
+    least = min(map(len, raw))
+    table = np.stack([fold(m, least) for m in raw])
+    lab, out = np.arange(len(rows)), []
+    for i in range(len(rows) - 1):
+        at = np.flatnonzero((lab[i + 1 :] != lab[i]) & (g.den * np.minimum(sizes[i + 1 :], sizes[i]) >= g.num * np.maximum(sizes[i + 1 :], sizes[i]))) + i + 1
+        if len(at):
+            for j in at[(table[at] != table[i]).sum(1) <= (sizes[at] + sizes[i]) * (g.den - g.num) // (g.den + g.num)].tolist():
+                if lab[i] != lab[j]:
+                    out.append((rows[i][0], rows[j][0]))
+                    lab[lab == lab[j]] = lab[i]
+        elif (lab == lab[i]).all():
+            break
+    return out
+
+
+def _bodies(body: DataFrame, able: DataFrame, n: int, whole: bool) -> DataFrame:
+    """For the nodes of able one row each: node, shingles (its set, sorted); or, not whole, node, size, mark (its digest by classes). Of rows with that id, one of those whose set it is."""
 
     def run(batch: pa.RecordBatch) -> dict[str, list]:
         known = run.__dict__.setdefault("known", WordHashes())
         got = [shingle_set(raw, n, known) for raw in batch.column("text").to_pylist()]
         fits = [i for i, (h, *mark) in enumerate(zip(got, *(batch.column(c).to_pylist() for c in ("s1", "s2")), strict=True)) if set_digest(h) == tuple(mark)]
-        return {"node": batch.column("node").take(pa.array(fits, pa.int64())), "shingles": [got[i].tobytes() for i in fits]}
+        out = {"node": batch.column("node").take(pa.array(fits, pa.int64()))}
+        return out | ({"shingles": [got[i].tobytes() for i in fits]} if whole else {"size": [len(got[i]) for i in fits], "mark": [sketch(got[i]) for i in fits]})
 
+    able = able.select("node", "s1", "s2")
     few = F.broadcast(able) if able.count() <= BROADCAST_IDS else able
-    chosen = body.join(few.select("node", "s1", "s2"), F.col("doc_id") == F.col("node")).select("node", "s1", "s2", "text")
-    return map_texts(chosen, run, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    chosen = body.join(few, F.col("doc_id") == F.col("node")).select("node", "s1", "s2", "text")
+    columns = "shingles binary" if whole else "size long, mark binary"
+    return map_texts(chosen, run, f"node long, {columns}").groupBy("node").agg(*[F.first(c.split()[0]).alias(c.split()[0]) for c in columns.split(", ")])
 
 
 def _blocks(members: DataFrame) -> DataFrame:
