@@ -46,6 +46,14 @@ def by_key_and_all(rows: DataFrame, key: str, keep: Sequence[str] = (), measures
     return out.select(*keep, F.when(F.col("_all") == 1, F.lit(ALL)).otherwise(F.col(key).cast("string")).alias("key"), *measures)
 
 
+def ordered(rows: DataFrame, by: str = "key") -> DataFrame:
+    """Rows of a breakdown as reports list them: types ascending, size classes and sizes by their number, `ALL` last; or, by "total" (or another measure), the largest first, ties by key."""
+    if by != "key":
+        return rows.orderBy(F.desc(by), *[c for c in ("key",) if c in rows.columns])
+    number = F.expr("try_cast(key as bigint)")
+    return rows.orderBy(*[c for c in ("gen",) if c in rows.columns], F.col("key") == ALL, number.asc_nulls_last(), "key")
+
+
 def internal(chunks: DataFrame, key: str) -> DataFrame:
     """Redundancy inside a data set by file type or size class: key, real, total, dedup_pct."""
     got = by_key_and_all(first_cost(chunks, [key]), key)
@@ -62,7 +70,9 @@ def simple_totals(files: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def simple_per_file(files: DataFrame, chunks: DataFrame, strict: bool = False) -> DataFrame:
     """file_seq, filesize, chunk_bytes, redundancy, redundancy_pct, patch, illegal; empty files stay. strict: raise on an illegal file."""
-    cost = first_cost(chunks, ["file_seq"]).groupBy("file_seq").agg(F.sum("total").alias("chunk_bytes"), F.sum("real").alias("new_bytes"))
+    first = chunks.groupBy("fp").agg(F.min(F.struct(position(chunks).alias("at"), F.col("file_seq"), F.col("chunksize"))).alias("first"))  # a fingerprint in every file is a row a task
+    new = first.groupBy(F.col("first.file_seq").alias("file_seq")).agg(F.sum("first.chunksize").alias("new_bytes"))
+    cost = chunks.groupBy("file_seq").agg(F.sum("chunksize").alias("chunk_bytes")).join(new, "file_seq", "left")
     both = files.select("file_seq", "filesize").join(cost, "file_seq", "left").na.fill(0, ["chunk_bytes", "new_bytes"])
     red = F.col("filesize") - F.col("new_bytes")
     both = both.withColumn("redundancy", red).withColumn("patch", F.col("chunk_bytes") - red)
@@ -128,15 +138,6 @@ def fast_totals(chunks: DataFrame) -> DataFrame:
     return per.agg((F.sum("size") / 1048576.0).alias("real_mib"), (F.sum(F.col("n") * F.col("size")) / 1048576.0).alias("total_mib"), F.count(F.lit(1)).alias("n_fps")).select(F.round("real_mib", 6).alias("real_mib"), F.round("total_mib", 6).alias("total_mib"), "n_fps")
 
 
-def modal(rows: DataFrame, group: Sequence[str], value: str, weight: str) -> DataFrame:
-    """group, value: the value of most weight in each group, the smallest of equals. Aggregated to (group, value) first, so no group is a list of its rows."""
-    counted = rows.groupBy(*group, value).agg(F.sum(weight).alias("_w"))
-    best = F.max(F.struct(F.col("_w"))).alias("_b")  # most weight; the tie is settled below
-    top = counted.groupBy(*group).agg(best)
-    fit = counted.join(top, list(group)).where(F.col("_w") == F.col("_b._w"))
-    return fit.groupBy(*group).agg(F.min(value).alias(value))
-
-
 def mode_attributed(chunks: DataFrame, key: str) -> DataFrame:
     """key, real_mib, total_mib: every fingerprint counts for its modal key."""
     per = chunks.groupBy("fp", key).agg(F.count(F.lit(1)).alias("n"), F.sum("chunksize").alias("bytes"))

@@ -393,23 +393,29 @@ def sample_reservoir(spark: SparkSession, d: str) -> DataFrame:
     return harnik.draw(document_chunks(spark, d), K).select("file_seq", "chunk_seq", "fp", "chunksize")
 
 
-@query(Q.sampled(Q.LI, 20 * K) + Q.estimated())
+@query(Q.sampled(Q.LI, harnik.SAMPLE) + Q.estimated())
 def harnik_total(spark: SparkSession, d: str) -> DataFrame:
     c = order_chunks(spark, d)
-    return harnik.estimate(harnik.compact(harnik.draw(c, 20 * K)), c)
+    return harnik.estimate(harnik.compact(harnik.draw(c, harnik.SAMPLE)), c)
 
 
-@query(Q.sampled(Q.LI, 20 * K) + Q.estimated("filetype"))
+@query(Q.sampled(Q.LI, harnik.SAMPLE_WITH_BREAKDOWN) + Q.estimated("filetype"))
 def harnik_by_type(spark: SparkSession, d: str) -> DataFrame:
     c = order_chunks(spark, d)
-    return harnik.estimate(harnik.compact(harnik.draw(c, 20 * K)), c, "filetype")
+    return harnik.estimate(harnik.compact(harnik.draw(c, harnik.SAMPLE_WITH_BREAKDOWN)), c, "filetype")
 
 
-@query(f"""with a as ({Q.sampled(Q.DOC, K)} {Q.estimated()}), b as ({Q.sampled(Q.DOC, K, "file_seq % 2 = 0")} {Q.estimated()})
+@query(Q.sampled(Q.DOC, harnik.SAMPLE_WITH_BREAKDOWN) + Q.estimated("size_class"))
+def harnik_by_size(spark: SparkSession, d: str) -> DataFrame:
+    c = document_chunks(spark, d)
+    return harnik.estimate(harnik.compact(harnik.draw(c, harnik.SAMPLE_WITH_BREAKDOWN)), c, "size_class")
+
+
+@query(f"""with a as ({Q.sampled(Q.DOC, harnik.SAMPLE)} {Q.estimated()}), b as ({Q.sampled(Q.DOC, harnik.SAMPLE, "file_seq % 2 = 0")} {Q.estimated()})
 select a.ratio as ratio_all, b.ratio as ratio_first, round((a.ratio * a.total_bytes - b.ratio * b.total_bytes) / (a.total_bytes - b.total_bytes), 6)::double as ratio_second from a, b""")
 def harnik_temporal(spark: SparkSession, d: str) -> DataFrame:
     c = _gens(spark, d)
-    return harnik.estimate_temporal(c, c.where("gen = 0"), K)
+    return harnik.estimate_temporal(c, c.where("gen = 0"), harnik.SAMPLE)
 
 
 # Traces and text formats.
@@ -437,6 +443,16 @@ def ir_csv_lines(spark: SparkSession, d: str) -> DataFrame:
     return delimited.breakdown_lines(ir_by_type(spark, d))
 
 
+@query("select row_number() over (order by key = 'ALL', try_cast(key as bigint) nulls last, key)::int as line, value from (select key, '\"' || key || '\";' || real || ';' || total as value from (" + Q.internal(Q.DOC, "size_class") + "))")
+def ir_report_size(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of the size report with their places: classes ascending, ALL last. There are as many as size classes."""
+    from pyspark.sql import Window
+
+    rows = redundancy.internal(document_chunks(spark, d), "size_class")
+    place = F.row_number().over(Window.orderBy(F.col("key") == redundancy.ALL, F.expr("try_cast(key as bigint)").asc_nulls_last(), "key"))
+    return rows.withColumn("line", place).select("line", F.concat_ws(";", F.concat(F.lit('"'), F.col("key"), F.lit('"')), F.col("real").cast("string"), F.col("total").cast("string")).alias("value"))
+
+
 @query("select case when contains(url, '=') then regexp_extract(url, '^(.*)=([^=]*)$', 1) else url end as path, case when contains(url, '=') then regexp_extract(url, '^(.*)=([^=]*)$', 2) else 'none' end as label from pages")
 def listing_parse(spark: SparkSession, d: str) -> DataFrame:
     return delimited.parse_listing(read(spark, d, "pages"), "url", "none")

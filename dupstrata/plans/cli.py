@@ -8,13 +8,18 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dupstrata.functions.scalars import PRIVACY, private_name
-from dupstrata.operators import reassemble, statistics
+from dupstrata.functions.scalars import PRIVACY, private_name, storage_unit
+from dupstrata.operators import reassemble, redundancy, statistics
 from dupstrata.operators.chunking import CHUNKERS, DEFAULT_CHUNKER, DIGESTS, Digest
 from dupstrata.plans import registry
+from dupstrata.plans.reporting import EVERY, Reporter
 from dupstrata.sources import crawl, delimited, traces
 
 
+#: Most chunks of a record that the trace writer makes.
+PART_CHUNKS = 10_000
+
+
 def load(spark: SparkSession, paths: Sequence[str], format: str) -> tuple[DataFrame, DataFrame]:
     """(files, chunks) of the traces, parts put together; traces count as one after another, and gen is a trace's place in paths."""
     records = None
@@ -41,9 +46,13 @@ def trace(spark: SparkSession, roots: Sequence[str], output: str | None = None,
         one = chunks.where(F.col("chunker") == name)
         if output:
             traces.register(spark)
-            rows = one.where("error is null").groupBy("filename", "filesize", "filetype", "label").agg(F.array_sort(F.collect_list(F.when(F.col("fp").isNotNull(), F.struct("chunk_seq", "chunksize", "fp")))).alias("c"))
+            # A long file is written in parts of PART_CHUNKS chunks; the record that closes it comes last, in the same trace file.
+            part = F.coalesce(F.floor(F.col("chunk_seq") / PART_CHUNKS), F.lit(0)).cast("long")
+            rows = one.where("error is null").groupBy("filename", "filesize", "filetype", "label", part.alias("part")).agg(F.array_sort(F.collect_list(F.when(F.col("fp").isNotNull(), F.struct("chunk_seq", "chunksize", "fp")))).alias("c"))
+            last = one.where("error is null").groupBy(F.col("filename").alias("_name")).agg(F.coalesce(F.floor(F.max("chunk_seq") / PART_CHUNKS), F.lit(0)).cast("long").alias("_last"))
             body = F.transform("c", lambda x: F.struct(x["chunksize"].alias("chunksize"), F.unhex(x["fp"]).alias("fp"), F.lit(None).cast("long").alias("chunk_hash")))
-            rows = rows.select(F.lit("").alias("run"), F.lit(0).cast("long").alias("record_seq"), "filename", "filesize", "filetype", "label", F.lit(False).alias("partial"), body.alias("chunks"))
+            rows = rows.join(last, F.col("filename") == F.col("_name")).repartition("filename").sortWithinPartitions("filename", "part")
+            rows = rows.select(F.lit("").alias("run"), F.lit(0).cast("long").alias("record_seq"), "filename", "filesize", "filetype", "label", (F.col("part") < F.col("_last")).alias("partial"), body.alias("chunks"))
             rows.write.format("trace").option("path", f"{output}-{name}" if len(chunkers) > 1 else output).mode("append").save()
         else:
             files = one.where("error is null").groupBy("filename", "filesize", "filetype", "label").agg(F.lit(1).alias("_")).withColumn("file_seq", F.xxhash64("filename")).drop("_")
@@ -65,8 +74,9 @@ def parse(spark: SparkSession, paths: Sequence[str], types: Sequence[str] = ("si
     out = {f"{t}/{k}": v for t in types for k, v in registry.analysis(t)(files, chunks, sample_size=sample_size, breakdown=bool(output)).items()}
     if output:
         for k, v in out.items():
+            v = redundancy.ordered(v) if "key" in v.columns else v.orderBy("chunksize") if "chunksize" in v.columns and k.startswith("chunk-size") else v
             lines = delimited.breakdown_lines(v) if {"key", "real", "total"} <= set(v.columns) and "gen" not in v.columns else v
-            (delimited.write_lines(lines, f"{output}-{k.replace('/', '-')}") if lines.columns == ["value"] else lines.coalesce(1).write.option("sep", ";").csv(f"{output}-{k.replace('/', '-')}"))
+            (delimited.write_lines(lines.coalesce(1), f"{output}-{k.replace('/', '-')}") if lines.columns == ["value"] else lines.coalesce(1).write.option("sep", ";").csv(f"{output}-{k.replace('/', '-')}"))
     return out
 
 
@@ -77,8 +87,19 @@ def view(spark: SparkSession, path: str, format: str = "protobuf", only_fingerpr
     return placed.select("fp") if only_fingerprint else placed.select("filename", "chunk_seq", "fp", "begin", "chunksize", F.lower(F.hex("chunk_hash")).alias("chunk_hash"))
 
 
+def show(df: DataFrame) -> None:
+    """Breakdowns in the order of reports, sizes in units and the share that deduplication saves with two digits; other frames as they are."""
+    if {"key", "real", "total"} <= set(df.columns):
+        share = F.when(F.col("total") > 0, 100.0 * (1.0 - F.col("real") / F.col("total"))).otherwise(F.lit(0.0))
+        text = lambda c: F.concat(storage_unit(c), F.lit("B"))
+        title = F.when(F.expr("try_cast(key as bigint)").isNotNull(), text(F.expr("try_cast(key as bigint)"))).otherwise(F.col("key"))
+        df = redundancy.ordered(df).select(*[c for c in ("gen",) if c in df.columns], title.alias("key"), text(F.col("real")).alias("real"), text(F.col("total")).alias("total"), F.format_string("%.2f%%", share).alias("ratio"))
+    df.show(50, False)
+
+
 def main(args: Sequence[str] | None = None) -> None:
     top = argparse.ArgumentParser(prog="dupstrata")
+    top.add_argument("--report", type=float, default=EVERY, help="seconds between lines of progress; 0 for none")
     sub = top.add_subparsers(dest="command", required=True)
     t = sub.add_parser("trace")
     t.add_argument("roots", nargs="+")
@@ -125,9 +146,10 @@ def main(args: Sequence[str] | None = None) -> None:
         else:
             delimited.write_lines(delimited.database_chunk_lines(chunks), f"{a.output}/chunks")
             delimited.write_lines(delimited.database_file_lines(files), f"{a.output}/files")
-    for name, df in shown.items():
-        print(name)
-        df.show(50, False)
+    with Reporter(spark, a.report):
+        for name, df in shown.items():
+            print(name)
+            show(df)
 
 
 if __name__ == "__main__":

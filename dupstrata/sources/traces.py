@@ -9,6 +9,7 @@ from __future__ import annotations
 import io
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -87,7 +88,7 @@ class TraceReader(DataSourceReader):
         import os
 
         path = self.options["path"].removeprefix("file://")
-        return [TracePartition(p) for p in sorted(glob.glob(f"{path}/**", recursive=True) if os.path.isdir(path) else glob.glob(path)) if os.path.isfile(p) and not os.path.basename(p).startswith((".", "_"))]
+        return [TracePartition(p) for p in sorted(glob.glob(f"{path}/**", recursive=True) if os.path.isdir(path) else glob.glob(path)) if os.path.isfile(p) and not os.path.basename(p).startswith((".", "_")) and "/_staging-" not in p]
 
     def read(self, partition: TracePartition):
         reader = FORMATS[self.options.get("format", "protobuf")][0]
@@ -97,11 +98,20 @@ class TraceReader(DataSourceReader):
                 yield (partition.path, seq, r.filename, r.size, r.type, r.label, r.partial, [(c.size, c.fp, c.hash) for c in r.chunks])
 
 
+@dataclass
+class Written(WriterCommitMessage):
+    """The staged file of the attempt that counts for a task; empty if it had no rows."""
+
+    name: str
+
+
 class TraceWriter(DataSourceWriter):
-    """One file a task, named at random and moved to its final name when it is whole, so a repeated task leaves nothing half written."""
+    """A file a task, staged below the target. Only those that the committed attempts name are moved into place; what repeated, speculative or failed attempts left goes with the staging folder."""
 
     def __init__(self, options: dict):
         self.options = options
+        self.folder = options["path"].removeprefix("file://")
+        self.staging = f"{self.folder}/_staging-{uuid.uuid4().hex}"
 
     def write(self, rows) -> WriterCommitMessage:
         import os
@@ -110,17 +120,26 @@ class TraceWriter(DataSourceWriter):
         writer = FORMATS[name][1]
         if writer is None:
             raise NotImplementedError(f"{name} is read only")
-        folder = self.options["path"].removeprefix("file://")
-        os.makedirs(folder, exist_ok=True)
-        part = f"{folder}/.{uuid.uuid4().hex}"
-        with open(part, "wb", buffering=4 << 20) as f:
+        os.makedirs(self.staging, exist_ok=True)
+        part = f"part-{uuid.uuid4().hex}.trace"
+        with open(f"{self.staging}/{part}", "wb", buffering=4 << 20) as f:
             n = writer(f, (wire.Record(r["filename"], r["filesize"], r["filetype"] or "", r["label"], bool(r["partial"]), [wire.Chunk(c["chunksize"], bytes(c["fp"]), c["chunk_hash"]) for c in r["chunks"] or []]) for r in rows))
-        done = f"{folder}/part-{uuid.uuid4().hex}.trace"
-        if n:
-            os.rename(part, done)
-        else:
-            os.remove(part)
-        return WriterCommitMessage()
+        return Written(part if n else "")
+
+    def commit(self, messages) -> None:
+        import os
+        import shutil
+
+        os.makedirs(self.folder, exist_ok=True)
+        for m in messages:
+            if m is not None and m.name:
+                os.rename(f"{self.staging}/{m.name}", f"{self.folder}/{m.name}")
+        shutil.rmtree(self.staging, ignore_errors=True)
+
+    def abort(self, messages) -> None:
+        import shutil
+
+        shutil.rmtree(self.staging, ignore_errors=True)
 
 
 class TraceSource(DataSource):

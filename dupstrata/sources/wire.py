@@ -5,7 +5,6 @@ A record is (filename, size, type, label, partial, chunks); a chunk is (size, fi
 
 from __future__ import annotations
 
-import re
 import struct
 from collections.abc import Iterable, Iterator
 from typing import BinaryIO, NamedTuple
@@ -189,12 +188,20 @@ def write_legacy(f: BinaryIO, records: Iterable[Record]) -> int:
     raise NotImplementedError("the legacy format is read only")
 
 
-UBC_CHUNK = re.compile(r"^([0-9a-fz]+):(\d+)$")
+def _ubc_chunk(line: str) -> Chunk:
+    """`digest:size`, the digest in lower-case hex or, from a z on, as it stands; anything else raises."""
+    digest, colon, size = line.partition(":")
+    if not colon or not digest or set(digest) - set("0123456789abcdefz") or not size.isascii() or not size.isdigit():
+        raise ValueError(f"an illegal chunk line: {line!r}")
+    return Chunk(int(size), digest.encode() if digest[0] == "z" else bytes.fromhex(digest))
 
 
 def read_ubc(f: BinaryIO) -> Iterator[Record]:
-    """Text: a header to a blank line; for each file three lines of names, a skipped one, the size, seven skipped ones, lines that begin SV:, V: or A: skipped, chunk lines to a blank one. The size is the sum of the chunks."""
-    lines = (x.decode("iso-8859-1").rstrip("\r\n") for x in f)
+    """Text: a header to a blank line; for each file three lines (directory, name, extension: what stands before a colon counts), a skipped one, the size, seven skipped ones, lines that begin SV:, V: or A: skipped, chunk lines to a blank one.
+
+    The name is the three hashes joined, the type the extension's, the size the sum of the chunks. A file that breaks off before its chunks ends the input; an illegal chunk line raises.
+    """
+    lines = (x.decode("iso-8859-1").strip() for x in f)
     for line in lines:
         if not line:
             break
@@ -204,21 +211,18 @@ def read_ubc(f: BinaryIO) -> Iterator[Record]:
         if not first:
             continue
         try:
-            name, suffix = next(lines), next(lines)
+            folder, name, suffix = (x.partition(":")[0] for x in (first, next(lines), next(lines)))
             for _ in range(9):
                 next(lines)
-            chunks = []
-            for line in lines:
-                if line.startswith(("SV:", "V:", "A:")):
-                    continue
-                m = UBC_CHUNK.match(line)
-                if not m:
-                    break
-                fp = m[1]
-                chunks.append(Chunk(int(m[2]), fp.encode() if "z" in fp or len(fp) % 2 else bytes.fromhex(fp)))
         except StopIteration:
             return
-        yield Record(f"{first}/{name}", sum(c.size for c in chunks), suffix, None, False, chunks)
+        chunks = []
+        for line in lines:
+            if not line:
+                break
+            if chunks or not line.startswith(("SV:", "V:", "A:")):
+                chunks.append(_ubc_chunk(line))
+        yield Record(folder + name + suffix, sum(c.size for c in chunks), suffix, None, False, chunks)
 
 
 READERS = {"protobuf": read_protobuf, "legacy": read_legacy, "ubc": read_ubc}

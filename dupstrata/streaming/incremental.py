@@ -24,17 +24,18 @@ def unique_chunks(stream: DataFrame, event_time: str | None = None, delay: str =
 def maintain_index(spark: SparkSession, source: str, schema: StructType | str, index: str, totals: str, checkpoint: str) -> StreamingQuery:
     """Reads new Parquet chunk files below source; appends unseen fingerprints to index and one row of sums a batch to totals.
 
-    A repeated batch first ignores what an earlier try of it wrote: index rows carry their batch and are read without it.
+    A repeated batch replaces what an earlier try of it wrote: each batch has a folder of its own in index and totals, and
+    is compared with the other batches' only.
     """
-    spark.createDataFrame([], INDEX).write.mode("append").parquet(index)
+    spark.createDataFrame([], INDEX).drop("batch").write.mode("overwrite").parquet(f"{index}/batch=-1")
 
     def step(batch: DataFrame, number: int) -> None:
         known = spark.read.schema(INDEX).parquet(index).where(F.col("batch") != number).select("fp").distinct().withColumn("_known", F.lit(True))
         per = batch.groupBy("fp").agg(F.sum("chunksize").alias("bytes"), F.count(F.lit(1)).alias("n"), F.max("chunksize").alias("chunksize")).join(known, "fp", "left")
         new = per.where("_known is null")
-        new.select("fp", "chunksize", F.lit(number).cast("long").alias("batch")).write.mode("append").parquet(index)
+        new.select("fp", "chunksize").write.mode("overwrite").parquet(f"{index}/batch={number}")
         real = F.coalesce(F.sum(F.when(F.col("_known").isNull(), F.col("chunksize"))), F.lit(0))
-        per.agg(F.lit(number).cast("long").alias("batch"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_chunks"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("total"), real.alias("real")).write.mode("append").parquet(totals)
+        per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_chunks"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("total"), real.alias("real")).write.mode("overwrite").parquet(f"{totals}/batch={number}")
 
     stream = spark.readStream.schema(schema).parquet(source)
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

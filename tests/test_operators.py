@@ -106,3 +106,19 @@ def test_parts(spark):
 def test_moving_average_and_pairs(spark, chunks):
     rows = statistics.sliding_average(chunks, "chunksize", ["run"], ["file_seq", "chunk_seq"], 1).orderBy("file_seq", "chunk_seq").collect()
     assert [r["moving"] for r in rows] == [10.0, 15.0, 20.0, 25.0, 25.0]
+
+
+def test_one_fingerprint_in_every_file(spark):
+    """The first file pays for it; no task holds its occurrences."""
+    n = 20_000
+    files = spark.range(n).select(F.col("id").alias("file_seq"), F.lit(3).cast("long").alias("filesize"))
+    chunks = files.select("file_seq", F.lit(0).cast("long").alias("chunk_seq"), F.lit("zero").alias("fp"), F.lit(2).cast("long").alias("chunksize")).unionAll(files.select("file_seq", F.lit(1).cast("long"), F.col("file_seq").cast("string"), F.lit(1).cast("long")))
+    got = redundancy.simple_per_file(files, chunks)
+    assert got.agg(F.sum("redundancy"), F.count_if("illegal"), F.count_if(F.col("redundancy") == 0)).first() == (2 * (n - 1), 0, 1)
+    assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_order_of_reports(spark):
+    rows = spark.createDataFrame([("ALL", 5), ("16", 1), ("2", 9), ("pdf", 3), ("doc", 9)], "key string, total long")
+    assert [r["key"] for r in redundancy.ordered(rows).collect()] == ["2", "16", "doc", "pdf", "ALL"]
+    assert [r["key"] for r in redundancy.ordered(rows, "total").collect()] == ["2", "doc", "ALL", "pdf", "16"]

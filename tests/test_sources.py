@@ -62,8 +62,27 @@ def test_ubc():
     skip = "\n".join("s" * 7)
     raw = f"head\nmore\n\ndir1\nname1\next\nskipped\n99\n{skip}\nSV:1\nab12:10\nz0:20\n\ndir2\nname2\nx\nskipped\n1\n{skip}\nff00:3\n\nLOGCOMPLETE\n".encode()
     got = list(wire.read_ubc(io.BytesIO(raw)))
-    assert [(r.filename, r.size, r.type) for r in got] == [("dir1/name1", 30, "ext"), ("dir2/name2", 3, "x")]
+    assert [(r.filename, r.size, r.type) for r in got] == [("dir1name1ext", 30, "ext"), ("dir2name2x", 3, "x")]
     assert [c.fp for c in got[0].chunks] == [b"\xab\x12", b"z0"]
+    assert next(wire.read_ubc(io.BytesIO(raw.replace(b"dir1", b"dir1:x").replace(b"\next\n", b"\next:3\n")))).filename == "dir1name1ext"
+    for wrong in (b"ab12", b"AB12:1", b"ab12:x", b":1"):
+        with pytest.raises(ValueError):
+            list(wire.read_ubc(io.BytesIO(raw.replace(b"ab12:10", wrong))))
+
+
+def test_only_committed_files_count(tmp_path):
+    """Of an attempt that was repeated and one that failed, nothing is left beside the files that count."""
+    writer = traces.TraceWriter({"path": f"{tmp_path}/out"})
+    row = {"filename": "f", "filesize": 1, "filetype": "", "label": None, "partial": False, "chunks": [{"chunksize": 1, "fp": b"x", "chunk_hash": None}]}
+    writer.write([row])
+    told = [writer.write([row]), writer.write([])]
+    assert not list(tmp_path.glob("out/part-*"))
+    writer.commit(told)
+    assert [p.name for p in tmp_path.glob("out/*")] == [told[0].name] and told[1].name == ""
+    other = traces.TraceWriter({"path": f"{tmp_path}/out"})
+    other.write([row])
+    other.abort([None])
+    assert len(list(tmp_path.glob("out/*"))) == 1
 
 
 def test_spark_reads_and_writes_traces(spark, tmp_path):
@@ -154,6 +173,24 @@ def test_trace_command(spark, tmp_path):
     assert cli.parse(spark, [f"{tmp_path}/out"], ["simple"])["simple/totals"].first()["redundancy_pct"] == 50.0
 
 
+def test_long_files_are_written_in_parts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(cli, "PART_CHUNKS", 7)
+    root = tmp_path / "root"
+    root.mkdir()
+    body = random.Random(7).randbytes(200_000)
+    (root / "a.bin").write_bytes(body)
+    (root / "b.bin").write_bytes(body[:1000])
+    (root / "c.bin").write_bytes(b"")
+    cli.trace(spark, [str(root)], output=f"{tmp_path}/out", chunkers=("fixed2",))
+    records = traces.read(spark, f"{tmp_path}/out").collect()
+    assert sorted((r["filename"][-5:], len(r["chunks"]), r["partial"]) for r in records) == sorted([("a.bin", 7, True)] * 13 + [("a.bin", 7, False), ("b.bin", 1, False), ("c.bin", 0, False)])
+    view = cli.view(spark, f"{tmp_path}/out").where("filename like '%a.bin'").orderBy("chunk_seq").collect()
+    assert [r["begin"] for r in view] == list(range(0, 200_000, 2048))
+    import hashlib
+
+    assert [r["fp"] for r in view] == [hashlib.sha1(body[k : k + 2048]).hexdigest() for k in range(0, 200_000, 2048)]
+
+
 def test_incremental_stream(spark, tmp_path):
     from dupstrata.streaming.incremental import maintain_index
 
