@@ -7,10 +7,12 @@ and everyone else as a named user; the mask covers what the assistant says, and
     <|user:NAME|>\\ntext<|end|>\\n            for another one
     <|system|>\\ntext<|end|>\\n               for the role `system`, which is never rotated
 
-and its mask is the text with <|end|> where the assistant speaks. Turns stand in the order of turn (null last), then
+and its mask is the text with <|end|> where the assistant speaks. In texts and names, `<|` is written `<\\|` and `|>` is written
+`|\\>`, so nothing that is said can be read as a marker. Turns stand in the order of turn (null last), then
 role and text, so ties and repeated rows have a defined place: equal rows render as often as they stand in the table.
-A null text counts as empty; a null or empty role is the name `unknown`. A conversation in which only `system` speaks
-has no participant and so no rotation. A null conv_id is a conversation of its own.
+A null text counts as empty; a null or empty role is the name `unknown`, and so one speaker with a role of that name. A conversation in which only `system` speaks
+has no participant and so no rotation. A null conv_id is a conversation of its own. An empty table gives an empty result.
+Very long texts are rows like others. Only conv_id, turn, role and text are read, so further columns of any name do no harm.
 
 Turns stay rows: nothing gathers a conversation into one value, so one conversation may hold a third of all rows.
 Offsets are running sums over sorted, spillable windows; a digest is a sum of hashes of (offset, rendered turn).
@@ -25,9 +27,14 @@ SYSTEM, END = "system", "<|end|>\n"
 UNNAMED = "unknown"
 
 
+def escaped(said: Column) -> Column:
+    """Without markers."""
+    return F.replace(F.replace(said, F.lit("<|"), F.lit("<\\|")), F.lit("|>"), F.lit("|\\>"))
+
+
 def turns(conversations: DataFrame) -> DataFrame:
-    role = F.coalesce(F.nullif(F.col("role"), F.lit("")), F.lit(UNNAMED))
-    return conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), role.alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    role = escaped(F.coalesce(F.nullif(F.col("role"), F.lit("")), F.lit(UNNAMED)))
+    return conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), role.alias("role"), escaped(F.coalesce("text", F.lit(""))).alias("text"))
 
 
 def participants(said: DataFrame) -> DataFrame:
@@ -78,7 +85,8 @@ def summarize(rotated: DataFrame) -> DataFrame:
 
 ORACLE = """
 with said as (
-  select conv_id, turn, coalesce(nullif(role, ''), 'unknown') as role, coalesce(text, '') as text from conversations),
+  select conv_id, turn, replace(replace(coalesce(nullif(role, ''), 'unknown'), '<|', '<\\|'), '|>', '|\\>') as role,
+    replace(replace(coalesce(text, ''), '<|', '<\\|'), '|>', '|\\>') as text from conversations),
 speakers as (select distinct conv_id, role as speaker from said where role <> 'system'),
 lines as (
   select s.conv_id, p.speaker, s.turn, s.role, s.text,
