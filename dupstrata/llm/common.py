@@ -76,13 +76,13 @@ def held_out(column: str | Column, parts: int, part: int) -> Column:
     return F.coalesce(F.crc32(col.cast("string").cast("binary")) % parts == part, F.lit(False))
 
 
-def slices(batches: Iterable[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """The batches again, cut where the texts of a piece would pass SLICE_BYTES; a longer text stands alone."""
+def slices(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches again, cut where the texts of a piece would pass `most` bytes; a longer text stands alone."""
     for batch in batches:
         sizes = [v or 0 for v in pc.binary_length(batch.column(column)).to_pylist()]
         begin = total = 0
         for i, n in enumerate(sizes):
-            if i > begin and total + n > SLICE_BYTES:
+            if i > begin and total + n > most:
                 yield batch.slice(begin, i - begin)
                 begin, total = i, 0
             total += n
@@ -90,8 +90,8 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text") -> Iterator[
             yield batch.slice(begin)
 
 
-def map_texts(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, list]], schema: str) -> DataFrame:
-    """mapInArrow over slices of texts: fn turns one into columns of the schema, in its order."""
+def map_texts(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, list]], schema: str, most: int = SLICE_BYTES) -> DataFrame:
+    """mapInArrow over slices of texts of so many bytes: fn turns one into columns of the schema, in its order."""
     spark = df.sparkSession
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -99,7 +99,7 @@ def map_texts(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, list]], sc
     arrow = to_arrow_schema(spark.createDataFrame([], schema).schema if not isinstance(schema, StructType) else schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in slices(batches):
+        for piece in slices(batches, most=most):
             out = fn(piece)
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
 

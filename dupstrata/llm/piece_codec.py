@@ -46,6 +46,7 @@ UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 UNKNOWN_COST = 10.0
 NEVER = -1e8  # scores below this are not for ordinary text
 LONG = 48  # longer words are segmented alone
+SLICE = 1 << 20  # bytes of text handled together: their words are Python strings meanwhile
 
 
 @dataclass
@@ -223,7 +224,7 @@ class Trie:
 class Encoder:
     """Segments words and texts; remembers MEMORY words at most."""
 
-    MEMORY = 300_000
+    MEMORY = 150_000
 
     def __init__(self, model: PieceModel, n: int, trie: Trie | None = None):
         self.model, self.n, self.trie = model, n, trie or Trie(model)
@@ -432,7 +433,7 @@ def encode(docs: DataFrame, model_path: str, n: int = 3, text_col: str = "text",
     kinds = dict(docs.dtypes)
     df = docs.select(F.col(f"`{text_col}`").cast("binary").alias("text"), *[F.col(f"`{k}`").alias(f"keep_{k}") for k in keep])
     more = ["own_ids"] if own else []
-    out = map_texts(df, run, ", ".join([*[f"`keep_{k}` {kinds[k]}" for k in keep], "ids binary", "scores array<double>", "others array<binary>", "round_trip boolean", *[f"{c} binary" for c in more]]))
+    out = map_texts(df, run, ", ".join([*[f"`keep_{k}` {kinds[k]}" for k in keep], "ids binary", "scores array<double>", "others array<binary>", "round_trip boolean", *[f"{c} binary" for c in more]]), SLICE)
     return out.select(*[F.col(f"keep_{k}").alias(k) for k in keep], "ids", "scores", "others", "round_trip", *more)
 
 
@@ -447,7 +448,7 @@ def decode(encoded: DataFrame, model_path: str, keep: tuple[str, ...] = ("doc_id
 
     kinds = dict(encoded.dtypes)
     df = encoded.select(F.col("ids").alias("text"), *[F.col(f"`{k}`").alias(f"keep_{k}") for k in keep])
-    out = map_texts(df, run, ", ".join([*[f"`keep_{k}` {kinds[k]}" for k in keep], "text string"]))
+    out = map_texts(df, run, ", ".join([*[f"`keep_{k}` {kinds[k]}" for k in keep], "text string"]), SLICE)
     return out.select(*[F.col(f"keep_{k}").alias(k) for k in keep], "text")
 
 
