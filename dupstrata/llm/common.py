@@ -19,7 +19,7 @@ WORD = f"[^{SPACE}]+"
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 #: Texts handled together inside one Python task, so that memory follows the texts and not the Arrow batch.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -63,7 +63,7 @@ LEAST_CONTENT = 6.0
 class WordHashes(dict):
     """Hashes of words; kept for MEMORY words at most."""
 
-    MEMORY = 500_000
+    MEMORY = 200_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.MEMORY:

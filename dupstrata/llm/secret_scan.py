@@ -29,7 +29,7 @@ from dupstrata.llm.common import cut, drop, map_texts, shared_folder, there
 #: Most missing addresses that are sent to every task: 32 bytes each.
 BROADCAST_BLOBS = 500_000
 #: Addresses that a task remembers.
-MEMORY = 200_000
+MEMORY = 50_000
 
 # The base rules, in the order in which kinds are listed.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
