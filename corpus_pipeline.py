@@ -66,9 +66,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row for each row: its N best segmentations by lattice, and the ids that the model's own merges give. Null texts have null ids, very long ones are encoded whole, repeated rows stay."""
+    """One row for each row: its N best segmentations by lattice. Null texts have null ids, very long ones are encoded whole, repeated rows stay."""
     keep = ("doc_id", "lang", "source")
-    encoded = piece_codec.encode(docs, PIECE_MODEL, n=3, keep=keep, own=True)
+    encoded = piece_codec.encode(docs, PIECE_MODEL, n=3, keep=keep)
     return piece_codec.digest(encoded, keep)
 
 
