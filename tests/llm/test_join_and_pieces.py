@@ -310,7 +310,7 @@ def test_pipeline_as_brute_force(spark, sf):
     assert len(said) == len(set(said)) >= 0.98 * len(rows)
     groups = classes([(i, rows[i]["text"]) for i in said], 5, 4, 5)
     assert sorted(single) == sorted(i for i, (_, c) in groups.items() if c == i)
-    assert sorted(clean) == sorted(i for i in single if not [s for s in secret_scan.find(rows[i]["text"]) if s[1] < 3])
+    assert sorted(clean) == sorted(i for i in single if not secret_scan.find(rows[i]["text"]))
     assert set(mixed) <= set(clean) and max(map(mixed.count, set(mixed))) <= 2
     words = {i: len((rows[i]["text"] or "").split()) for i in clean}
     assert abs(sum(words[i] for i in mixed) - 1.5 * sum(words.values())) < 0.05 * sum(words.values())
