@@ -263,7 +263,7 @@ def test_long_texts_without_a_blank(model, alphabet):
     (got,) = encoder.encode([text])
     scores, ids = [s for s, _ in got], [x for _, x in got]
     assert scores == sorted(scores, reverse=True) and len(set(ids)) == len(ids) and all(encoder.decode(x) == text for x in ids)
-    assert len(got) == 3 or alphabet == "一二三国人"  # no two of these characters make a piece
+    assert len(got) == 3 or not any(len(p) > 1 and set(p) <= set(alphabet) for p in model.ids)  # one way only
     assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 600_000
 
 
