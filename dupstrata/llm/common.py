@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -90,6 +91,15 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", most: int =
             yield batch.slice(begin)
 
 
+def give_back() -> None:
+    """Hand memory that Arrow and the C library hold unused back to the machine: a worker outlives its task and would keep it beside the tasks to come."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # C libraries other than glibc have no such call
+        pass
+
+
 def map_texts(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, list]], schema: str, most: int = SLICE_BYTES) -> DataFrame:
     """mapInArrow over slices of texts of so many bytes: fn turns one into columns of the schema, in its order."""
     spark = df.sparkSession
@@ -99,9 +109,13 @@ def map_texts(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, list]], sc
     arrow = to_arrow_schema(spark.createDataFrame([], schema).schema if not isinstance(schema, StructType) else schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in slices(batches, most=most):
-            out = fn(piece)
-            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
+        try:
+            for piece in slices(batches, most=most):
+                out = fn(piece)
+                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
+        finally:
+            fn.__dict__.clear()
+            give_back()
 
     return df.mapInArrow(run, schema)
 

@@ -46,7 +46,7 @@ UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 UNKNOWN_COST = 10.0
 NEVER = -1e8  # scores below this are not for ordinary text
 LONG = 48  # longer words are segmented alone
-SLICE = 4 << 20  # bytes of text handled together: more of them let Viterbi run over more words at once
+SLICE = 2 << 20  # bytes of text handled together: more of them let Viterbi run over more words at once
 
 
 @dataclass
