@@ -46,7 +46,7 @@ UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 UNKNOWN_COST = 10.0
 NEVER = -1e8  # scores below this are not for ordinary text
 LONG = 48  # longer words are segmented alone
-SLICE = 2 << 20  # bytes of text handled together: more of them let Viterbi run over more words at once
+SLICE = 1 << 20  # bytes of text handled together
 
 
 @dataclass
@@ -224,7 +224,7 @@ class Trie:
 class Encoder:
     """Segments words and texts; remembers MEMORY words at most."""
 
-    MEMORY = 200_000
+    MEMORY = 100_000
 
     def __init__(self, model: PieceModel, n: int, trie: Trie | None = None):
         self.model, self.n, self.trie = model, n, trie or Trie(model)
@@ -357,18 +357,22 @@ class Encoder:
                 out.append(None)
                 continue
             rows = [self.words[u] for u in units]
-            best = (sum(r[1] for r in rows), b"".join([r[0] for r in rows]))
-            out.append([best, *(self._merge(best, rows, units) if self.n > 1 else [])])
+            ids = list(map(itemgetter(0), rows))
+            best = (sum(map(itemgetter(1), rows)), b"".join(ids))
+            out.append([best, *(self._merge(best, ids, list(map(itemgetter(2), rows)), units) if self.n > 1 else [])])
         return out
 
-    def _merge(self, best: tuple[float, bytes], rows: list[tuple[bytes, float, float]], units: list[str]) -> list[tuple[float, bytes]]:
-        """The second to n-th: best-first over the lists of the words nearest to their second-best path."""
-        near = [(d, k) for d, k in heapq.nsmallest(self.n - 1, [(r[2], k) for k, r in enumerate(rows)]) if d < np.inf]
-        near.sort(key=itemgetter(1))
+    def _merge(self, best: tuple[float, bytes], ids: list[bytes], distances: list[float], units: list[str]) -> list[tuple[float, bytes]]:
+        """The second to n-th: best-first over the lists of the words nearest to their second-best path. Uses up distances."""
+        near = []
+        while distances and len(near) < self.n - 1 and (least := min(distances)) < np.inf:
+            near.append(distances.index(least))
+            distances[near[-1]] = np.inf
+        near.sort()
         lists = []
-        for _, k in near:
+        for k in near:
             got = self.n_best_word(units[k])
-            lists.append([(got[0][0] - s, ids) for s, ids in got])
+            lists.append([(got[0][0] - s, path) for s, path in got])
         queue, seen, out = [(0.0, (0,) * len(lists))], {(0,) * len(lists)}, []
         begins = None
         while queue and len(out) < self.n:
@@ -377,17 +381,15 @@ class Encoder:
                 out.append(best)
             else:
                 if begins is None:
-                    wanted = {k for _, k in near}
-                    begins, place = {}, 0
-                    for k, r in enumerate(rows):
-                        if k in wanted:
-                            begins[k] = place
-                        place += len(r[0])
+                    begins, place, last = {}, 0, 0
+                    for k in near:
+                        place += sum(map(len, ids[last:k]))
+                        begins[k], last = place, k
                 pieces, place = [], 0
-                for (_, k), every, i in zip(near, lists, at, strict=True):
+                for k, every, i in zip(near, lists, at, strict=True):
                     if i:
                         pieces += [best[1][place : begins[k]], every[i][1]]
-                        place = begins[k] + len(rows[k][0])
+                        place = begins[k] + len(ids[k])
                 out.append((best[0] - cost, b"".join([*pieces, best[1][place:]])))
             for k, i in enumerate(at):
                 if i + 1 < len(lists[k]):
