@@ -22,6 +22,9 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Texts handled together inside one Python task, so that memory follows the texts and not the Arrow batch.
 SLICE_BYTES = 2 << 20
 
+#: Rows of whole texts that travel to a Python worker at once; both ends hold such a batch outside the heap.
+BATCH_ROWS = 1000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -100,12 +103,20 @@ def give_back() -> None:
         pass
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's limit of rows in an Arrow batch to BATCH_ROWS; a lower one stays. Only batches change by it, no result does."""
+    limit = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(limit)) <= BATCH_ROWS:
+        spark.conf.set(limit, BATCH_ROWS)
+
+
 def map_texts(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, list]], schema: str, most: int = SLICE_BYTES) -> DataFrame:
     """mapInArrow over slices of texts of so many bytes: fn turns one into columns of the schema, in its order."""
     spark = df.sparkSession
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
+    bound_batches(spark)
     arrow = to_arrow_schema(spark.createDataFrame([], schema).schema if not isinstance(schema, StructType) else schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
