@@ -14,8 +14,11 @@ A null text counts as empty; a null or empty role is the name `unknown`, and so
 has no participant and so no rotation. A null conv_id is a conversation of its own. An empty table gives an empty result.
 Very long texts are rows like others. Only conv_id, turn, role and text are read, so further columns of any name do no harm.
 
-Turns stay rows: nothing gathers a conversation into one value, so one conversation may hold a third of all rows.
-Offsets are running sums over sorted, spillable windows; a digest is a sum of hashes of (offset, rendered turn).
+Turns stay rows, and texts move once, by conversation and range of SPAN turn numbers, so a conversation that holds a third of
+all rows is spread over as many tasks as it has ranges. Where a range begins comes from sums over the ranges before it: a
+dialogue rendered with all speakers as users, longer or shorter by one head for each earlier turn of the speaker. Within a
+range offsets are running sums over sorted, spillable windows. Rows with one turn number (or none) are one range, however
+many they are. A digest is a sum of hashes of (offset, rendered turn).
 """
 
 from __future__ import annotations
@@ -23,9 +26,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SYSTEM, END = "system", "<|end|>\n"
+SYSTEM, ASSISTANT, END = "system", "<|assistant|>\n", "<|end|>\n"
 UNNAMED = "unknown"
 
+#: Turn numbers in a range.
+SPAN = 256
+
 
 def escaped(said: Column) -> Column:
     """Without markers."""
@@ -37,29 +43,38 @@ def turns(conversations: DataFrame) -> DataFrame:
     return conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), role.alias("role"), escaped(F.coalesce("text", F.lit(""))).alias("text"))
 
 
-def participants(said: DataFrame) -> DataFrame:
-    """(conv_id, speaker): aggregated before the shuffle, so a long conversation sends a row a role and task."""
-    return said.where(F.col("role") != SYSTEM).select("conv_id", F.col("role").alias("speaker")).distinct()
-
-
 def _head(role: str, speaker: Column | None = None) -> Column:
     other = F.when(F.col(role) == SYSTEM, F.lit("<|system|>\n")).otherwise(F.concat(F.lit("<|user:"), F.col(role), F.lit("|>\n")))
-    return other if speaker is None else F.when(F.col(role) == speaker, F.lit("<|assistant|>\n")).otherwise(other)
+    return other if speaker is None else F.when(F.col(role) == speaker, F.lit(ASSISTANT)).otherwise(other)
+
+
+def range_begins(said: DataFrame) -> DataFrame:
+    """key, range, speaker, range_begin: where each range begins in each rotation. Aggregated before the shuffle; numbers only."""
+    size = F.length(_head("role")) + F.length("text") + F.lit(len(END))
+    sums = said.groupBy("key", "range", "role").agg(F.sum(size.cast("long")).alias("size"), F.count(F.lit(1)).alias("n")).repartition("key")
+    earlier = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = sums.groupBy("key", "range").agg(F.sum("size").alias("size"))
+    ranges = ranges.select("key", "range", F.coalesce(F.sum("size").over(earlier.partitionBy("key")), F.lit(0)).alias("base"))
+    speakers = sums.where(F.col("role") != SYSTEM).select("key", F.col("role").alias("speaker")).distinct()
+    own = sums.select("key", "range", F.col("role").alias("speaker"), "n")
+    grid = ranges.join(speakers, "key").join(own, ["key", "range", "speaker"], "left")
+    before = F.coalesce(F.sum("n").over(earlier.partitionBy("key", "speaker")), F.lit(0))
+    return grid.select("key", "range", "speaker", (F.col("base") + before * (F.lit(len(ASSISTANT)) - F.length(_head("speaker")))).alias("range_begin"))
 
 
-def rotate(conversations: DataFrame) -> DataFrame:
+def rotate(conversations: DataFrame, span: int = SPAN) -> DataFrame:
     """conv_id, speaker, turn, role, rendered, begin, mask_begin, mask_end: one row for each perspective and turn.
 
     begin is the place of the rendered turn in the rendered dialogue; the mask's ends are null for other speakers.
     """
-    said = turns(conversations)
-    both = said.join(participants(said).withColumnRenamed("conv_id", "of"), F.col("conv_id").eqNullSafe(F.col("of"))).drop("of")
-    head = _head("role", F.col("speaker"))
-    both = both.withColumn("head", head).withColumn("rendered", F.concat("head", "text", F.lit(END)))
-    order = Window.partitionBy("conv_id", "speaker").orderBy(F.col("turn").asc_nulls_last(), "role", "text")
+    key = F.coalesce(F.col("conv_id").cast("string"), F.lit(""))
+    said = turns(conversations).withColumns({"key": key, "range": F.coalesce(F.floor(F.col("turn") / span), F.lit((1 << 63) - 1))})
+    both = said.repartition("key", "range").join(range_begins(said), ["key", "range"])
+    both = both.withColumn("head", _head("role", F.col("speaker"))).withColumn("rendered", F.concat("head", "text", F.lit(END)))
+    order = Window.partitionBy("key", "range", "speaker").orderBy(F.col("turn").asc_nulls_last(), "role", "text")
     size = F.length("rendered").cast("long")
-    begin = F.coalesce(F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
-    both = both.withColumn("begin", begin)
+    within = F.coalesce(F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    both = both.withColumn("begin", F.col("range_begin") + within)
     own = F.col("role") == F.col("speaker")
     mask_begin = F.when(own, F.col("begin") + F.length("head"))
     mask_end = F.when(own, F.col("begin") + size - 1)
