@@ -18,6 +18,9 @@ from dupstrata.llm.queries import PIECE_MODEL
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 LEAST_SURE = 0.2
 
+#: Bytes of text that the codec handles together and words that it remembers: fewer than by default, as the earlier stages leave their executors less memory.
+CODEC_SLICE, CODEC_MEMORY = 1 << 20, 100_000
+
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Null texts and texts without a letter go, as do those of a low score; repeated rows and ids stay, an empty table stays empty, very long texts are read whole."""
@@ -68,7 +71,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row for each row: its N best segmentations by lattice. Null texts have null ids, very long ones are encoded whole, repeated rows stay."""
     keep = ("doc_id", "lang", "source")
-    encoded = piece_codec.encode(docs, PIECE_MODEL, n=3, keep=keep)
+    encoded = piece_codec.encode(docs, PIECE_MODEL, n=3, keep=keep, slice_bytes=CODEC_SLICE, memory=CODEC_MEMORY)
     return piece_codec.digest(encoded, keep)
 
 

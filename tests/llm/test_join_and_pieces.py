@@ -244,7 +244,7 @@ def test_words_alone_as_together(model, monkeypatch):
 
 def test_memory(model):
     encoder = piece_codec.Encoder(model, 2)
-    encoder.MEMORY = 50
+    encoder.memory = 50
     rng = random.Random(3)
     texts = ["".join(rng.choice("abcdefgh ") for _ in range(400)) for _ in range(20)] + ["x" * 3000, "né" * 200]
     for t, ((score, ids), (second, other)) in zip(texts, encoder.encode(texts), strict=True):
